@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own_dirs: dict[str, str] = {}
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "lectern") -> SparkSession:
@@ -35,8 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
-        found = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+        found = _own_dirs[app]
     if "://" not in found and not found.startswith("file:"):
         found = f"file://{os.path.abspath(found)}"
     return found.rstrip("/")
