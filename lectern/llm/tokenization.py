@@ -14,10 +14,11 @@ equals the library's ids for the whole text:
 from __future__ import annotations
 
 import os
+from array import array
 from pathlib import Path
 
 #: Words a worker remembers; beyond, it forgets all and starts again.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 800_000
 #: Tokenizer definitions are a few megabytes; a larger file is refused rather than sent to executors.
 MAX_DEFINITION_BYTES = 64 << 20
 
@@ -40,48 +41,99 @@ def load(definition: str):
     return t
 
 
+_MARKS = frozenset(".,;:!?")
+
+
+def _byte_characters() -> dict[int, int]:
+    """The character that byte-level models use for each byte: itself if printable, else the next from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [x for x in range(256) if x not in plain]
+    return {x: x for x in plain} | {x: 256 + n for n, x in enumerate(others)}
+
+
 class WordEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids through a bounded cache of parts."""
+    """Encodes texts to little-endian unsigned 32-bit ids through a bounded cache of parts.
+
+    A part that is one word of Latin letters, perhaps with one mark after it, goes straight to the
+    library's model, without its pre-tokenizer; probes at the start tell whether that gives the same ids.
+    """
 
     def __init__(self, definition: str, cache_words: int = CACHE_WORDS):
         self.tokenizer = load(definition)
+        self.model = self.tokenizer.model
         self.drops_blanks = not self._keeps_blanks()
+        self.lead = "" if self.drops_blanks else " "
+        self.table = _byte_characters()
+        normalizer = self.tokenizer.normalizer
+        self.normalize = normalizer.normalize_str if normalizer else str
         self.cache_words = cache_words
         self.cache: dict[str, bytes] = {}
+        self.marks = {x: self._library([x])[0] for x in _MARKS}
+        probes = ["a", "Word", "ABC", "hello", "naïve", "ÜBER", "straße", "aaaaaaaaaaaaaaaaaaaaaaaa", "ª", "Qxz"]
+        self.direct = [self._word(self.lead + x) + self.marks[m] for x in probes for m in _MARKS] == self._library([f"{self.lead}{x}{m}" for x in probes for m in _MARKS])
 
     def _keeps_blanks(self) -> bool:
         whole = self.tokenizer.encode("a a", add_special_tokens=False).ids
         single = self.tokenizer.encode("a", add_special_tokens=False).ids
         return whole != single + single
 
-    def parts(self, text: str) -> list[str]:
+    def _library(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for i in range(0, len(parts), 8192) for e in self.tokenizer.encode_batch_fast(parts[i : i + 8192], add_special_tokens=False)]
+
+    def _word(self, part: str) -> bytes:
+        """Ids of one word of letters, with the blank before it."""
+        mapped = self.normalize(part).encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def cut(self, text: str) -> tuple[str, list[str]]:
+        """The first part, and the others without the blank before them."""
         if self.drops_blanks:
-            return [x for x in text.replace("\n", " ").split(" ") if x]
-        cut = text.split(" ")
-        out = [cut[0]]
-        for x in cut[1:]:
+            return "", [x for x in text.replace("\n", " ").split(" ") if x]
+        words = text.split(" ")
+        if text.replace("\n", "").isprintable() and not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "):
+            return words[0], words[1:]
+        out = [words[0]]
+        for x in words[1:]:
             left = out[-1]
             if x and x[0].isprintable() and left and left[-1] != " " and left[-1].isprintable():
-                out.append(" " + x)
+                out.append(x)
             else:
                 out[-1] = f"{left} {x}"
-        return out
+        return out[0], out[1:]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Put the ids of new parts, which follow a blank, into the cache."""
+        cache, lead, marks, others, tokenize = self.cache, self.lead, self.marks, [], self.model.tokenize
+        first = chr(self.table[0x20]) if lead else ""
+        lowers = self.normalize("A") == "a"
+        for part in parts:
+            mark = marks.get(part[-1])
+            word = part if mark is None else part[:-1]
+            if not (self.direct and word.isalpha() and (word.isascii() or max(word) <= "\u00ff")):
+                others.append(part)
+                continue
+            ids = cache.get(word) if mark is not None else None
+            if ids is None:
+                if word.isascii():  # letters stand for themselves in the byte alphabet
+                    ids = array("I", [t.id for t in tokenize(first + (word.lower() if lowers else word))]).tobytes()
+                else:
+                    ids = self._word(lead + word)
+                cache[word] = ids
+            if mark is not None:
+                cache[part] = ids + mark
+        cache.update(zip(others, self._library([lead + x for x in others]), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
-        cut = [self.parts(x) for x in texts]
-        wanted: set[str] = set()
-        for x in cut:
-            wanted.update(x)
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        new = list(wanted.difference(self.cache))
-        for i in range(0, len(new), 8192):
-            some = new[i : i + 8192]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[word] = b"".join([n.to_bytes(4, "little") for n in e.ids])
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        cuts = [self.cut(x) for x in texts]
+        wanted: set[str] = set()
+        for _, rest in cuts:
+            wanted.update(rest)
+        self._learn(list(wanted.difference(self.cache)))
+        heads, get = self._library([x for x, _ in cuts]), self.cache.__getitem__
+        return [head + b"".join(map(get, rest)) for head, (_, rest) in zip(heads, cuts, strict=True)]
 
 
 _encoders: dict[int, WordEncoder] = {}
