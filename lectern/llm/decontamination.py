@@ -167,3 +167,21 @@ def judge(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_byte
     items with occurring windows, sorted as strings and joined by commas.
     """
     return find(docs, benchmark, window=window, block_bytes=block_bytes, digest=True)
+
+
+def oracle_sql(window: int = 10) -> str:
+    """The same in DuckDB SQL: windows of either side as strings, joined."""
+    cut = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {cut.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {cut.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+sized AS (SELECT item, w, least({window}, len(w)) AS n FROM b WHERE len(w) > 0),
+pattern AS (SELECT DISTINCT item, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS p FROM sized),
+lengths AS (SELECT DISTINCT n FROM pattern),
+spot AS (SELECT r, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'p': array_to_string(w[i:i + n - 1], ' ')}})) AS x FROM d, lengths WHERE len(w) >= n),
+found AS (SELECT r, x.i AS i, spot.n AS n, item FROM spot JOIN pattern ON x.p = p AND spot.n = pattern.n),
+hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""

@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontamination, packing, token_counts, token_output
+from lectern.llm import decontamination, license_scans, minhash_dedup, packing, quality_rules, token_counts, token_output, url_filters
+
+
+#: The rules of the url query; longest wins.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+#: The near-duplicate query's sets: four words.
+FOUR_WORDS = minhash_dedup.Settings(width=4)
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +34,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.judge(table(spark, sf_dir, "documents"), FOUR_WORDS)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
@@ -39,8 +62,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
+    "op3_url_filters": op3_url_filters,
+    "op4_license_scans": op4_license_scans,
+    "op5_minhash_dedup": op5_minhash_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_token_output": op9_token_output,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": url_filters.oracle_sql(URL_RULES),
+    "op4_license_scans": license_scans.oracle_sql(),
+    "op5_minhash_dedup": minhash_dedup.oracle_sql(width=4),
+    "op8_quality_rules": quality_rules.oracle_sql(),
+    "op10_decontamination": decontamination.oracle_sql(window=10),
+}
