@@ -1,12 +1,62 @@
-"""The corpus pipeline; its stages are filled in as their operators land."""
+"""The corpus pipeline: from the documents table to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
+as the next stage's documents. All but the last return the columns of documents.
+
+The last stage needs a byte-pair tokenizer, which SQL cannot express, so there is no ``ORACLE_SQL``;
+tests hold the pipeline against plain Python.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lectern.llm import decontamination, line_dedup, minhash_dedup, packing, quality_rules
+from lectern.llm.queries import table, tokenizer_file
+from lectern.session import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and their fitted accuracies take for good."""
+    return quality_rules.keep(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that match an earlier line."""
+    return line_dedup.dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group at a similarity of 0.8 of five-word shingles."""
+    return minhash_dedup.keep(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten-word window of the benchmark."""
+    return decontamination.keep(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
+
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs

@@ -169,6 +169,21 @@ def judge(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_byte
     return find(docs, benchmark, window=window, block_bytes=block_bytes, digest=True)
 
 
+def keep(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of ``benchmark``, with all their columns; one narrow pass a block."""
+    spark, place, out = docs.sparkSession, docs.columns.index("text"), docs
+    for chunk in _chunks(benchmark, block_bytes):
+        searcher = spark.sparkContext.broadcast(WuManber(chunk, window))
+
+        def run(batches: Iterator[pa.RecordBatch], searcher=searcher) -> Iterator[pa.RecordBatch]:
+            look = searcher.value.search
+            for batch in batches:
+                yield batch.filter(pa.array([not look(words_of(x))[0] for x in blobs(batch.column(place))], pa.bool_()))
+
+        out = map_arrow(out, run, docs.schema)
+    return out
+
+
 def oracle_sql(window: int = 10) -> str:
     """The same in DuckDB SQL: windows of either side as strings, joined."""
     cut = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

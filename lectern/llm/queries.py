@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, license_scans, minhash_dedup, packing, quality_rules, token_counts, token_output, url_filters
+from lectern.llm import decontamination, license_scans, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, token_counts, token_output, url_filters
 
 
 #: The rules of the url query; longest wins.
@@ -46,6 +47,17 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.judge(table(spark, sf_dir, "documents"), FOUR_WORDS)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(documents, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(documents, model)
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -65,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_license_scans": op4_license_scans,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_output": op9_token_output,
     "op10_decontamination": op10_decontamination,
@@ -74,6 +88,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": url_filters.oracle_sql(URL_RULES),
     "op4_license_scans": license_scans.oracle_sql(),
     "op5_minhash_dedup": minhash_dedup.oracle_sql(width=4),
+    "op6_line_dedup": line_dedup.oracle_sql(),
     "op8_quality_rules": quality_rules.oracle_sql(),
     "op10_decontamination": decontamination.oracle_sql(window=10),
 }
