@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "corpus_split_report"
-MODULES = ("queries_data",)
+MODULES = ("queries_data", "queries_metrics", "queries_layout")
 
 
 def _gathered(name: str) -> dict:
