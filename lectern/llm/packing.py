@@ -119,8 +119,8 @@ def pack(
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
                 encoded = [x + end for x in encoder.encode_batch([x or "" for x in part.column(1).to_pylist()])]
                 ids.append(part.column(0).to_pylist())
                 blocks.append(encoded)

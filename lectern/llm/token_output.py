@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.tokenization import read_definition, worker_encoder
+from lectern.llm.tokenization import forget, read_definition, worker_encoder
 from lectern.llm.workers import map_arrow
 from lectern.session import work_dir
 
@@ -163,8 +163,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int, doc
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(definition.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
                 ids = [x + end for x in encoder.encode_batch([x or "" for x in part.column(1).to_pylist()])]
                 numbers = part.column(0).to_pylist()
                 shards = [0 if x is None else int(np.searchsorted(bounds, x, side="left")) for x in numbers]
@@ -177,6 +177,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int, doc
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, part, numbers, held, size = None, 0, [], [], 0
+        forget()
 
         def put() -> pa.RecordBatch:
             lengths = np.array([len(x) for x in held], dtype=np.int64)
@@ -185,7 +186,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int, doc
             values = (shard, part, path, len(numbers), int(lengths.sum()), len(data))
             return pa.RecordBatch.from_pylist([dict(zip([x.split()[0] for x in _MANIFEST.split(", ")], values, strict=True))], schema=pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-        for batch in batches:
+        for batch in (x.slice(i, 1024) for x in batches for i in range(0, x.num_rows, 1024)):
             for s, number, wide, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if held and (s != shard or size >= ids_per_file):
                     yield put()

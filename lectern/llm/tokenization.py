@@ -18,7 +18,7 @@ from array import array
 from pathlib import Path
 
 #: Words a worker remembers; beyond, it forgets all and starts again.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 #: Tokenizer definitions are a few megabytes; a larger file is refused rather than sent to executors.
 MAX_DEFINITION_BYTES = 64 << 20
 
@@ -146,3 +146,8 @@ def worker_encoder(definition: str) -> WordEncoder:
         _encoders.clear()
         _encoders[key] = WordEncoder(definition)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drop this worker's encoder; for tasks that follow on the same worker and need the memory."""
+    _encoders.clear()
