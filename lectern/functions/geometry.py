@@ -45,12 +45,17 @@ class Box:
         return other.center_x.between(self.x0 - margin, self.x1 + margin) & other.center_y.between(self.y0 - margin, self.y1 + margin)
 
 
-ZERO, ONE = F.lit(0.0), F.lit(1.0)
+def _zero() -> Column:
+    return F.lit(0.0)
+
+
+def _one() -> Column:
+    return F.lit(1.0)
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Length shared by two intervals."""
-    return F.greatest(ZERO, F.least(a1, b1) - F.greatest(a0, b0))
+    return F.greatest(_zero(), F.least(a1, b1) - F.greatest(a0, b0))
 
 
 def intersection(a: Box, b: Box) -> Column:
@@ -60,24 +65,24 @@ def intersection(a: Box, b: Box) -> Column:
 def iou_pixels(a: Box, b: Box) -> Column:
     """Intersection over union, the union floored at one square pixel."""
     i = intersection(a, b)
-    return i / F.greatest(ONE, a.area + b.area - i)
+    return i / F.greatest(_one(), a.area + b.area - i)
 
 
 def iou_normalized(a: Box, b: Box) -> Column:
     """Intersection over union; 0 if the union is empty."""
     i = intersection(a, b)
     union = a.area + b.area - i
-    return F.when(union > 0, i / union).otherwise(ZERO)
+    return F.when(union > 0, i / union).otherwise(_zero())
 
 
 def share_inside(a: Box, b: Box) -> Column:
     """Part of ``a`` inside ``b``; each side of ``a`` floored at one pixel."""
-    return intersection(a, b) / (F.greatest(ONE, a.width) * F.greatest(ONE, a.height))
+    return intersection(a, b) / (F.greatest(_one(), a.width) * F.greatest(_one(), a.height))
 
 
 def coverage(subject: Box, container: Box) -> Column:
     """Part of ``subject`` that ``container`` covers; 0 for an empty subject."""
-    return F.when(subject.area > 0, intersection(subject, container) / subject.area).otherwise(ZERO)
+    return F.when(subject.area > 0, intersection(subject, container) / subject.area).otherwise(_zero())
 
 
 def union_box() -> list[Column]:
@@ -104,7 +109,7 @@ def layout_zone(b: Box) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(ZERO, F.least(ONE, x))
+    return F.greatest(_zero(), F.least(_one(), x))
 
 
 #: Fixed value: layout units in a millimetre (7,200 an inch).
