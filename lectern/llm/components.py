@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import materialize
+from lectern.session import discard, materialize
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -23,19 +23,21 @@ def connected(edges: DataFrame) -> DataFrame:
     given = edges.select("a", "b").where("a is not null and b is not null")
     now = materialize(given.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     loops = now.where("u = v").select("u", "v")
+    previous = None
     now, seen = now.where("u <> v"), None
     while True:
         facts = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if facts["n"] == 0 or seen == facts:
             break
-        seen = facts
+        seen, before = facts, previous
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         others = large.join(low.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(others.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        now = previous = materialize(others.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(large, *([before] if before is not None else []))
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component"))

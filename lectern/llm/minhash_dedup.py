@@ -11,9 +11,11 @@ threshold. The steps:
    sets are retained whole, so there it is certain). Two sets of ``s`` values that share ``least`` meet
    among the ``s - least + 1`` rarest of either, so only those are listed; values of one node drop out. A passage
    that stands in a third of the documents is frequent and thus not listed.
-3. *Pairs.* Lists are not expanded into all pairs. Each is first a star: its nodes are paired with one
-   of them, twice with different centres. Links join nodes to components; then only pairs from
-   different components are left to be tried in each list, and all of them are.
+3. *Pairs.* Lists are not expanded into all pairs. Each is first a star: its nodes are paired with the one
+   whose values are the most common, then once more with another. Links join nodes to components; then
+   only pairs from different components are left to be tried. In lists of up to ``SMALL`` nodes they are
+   paired. What longer lists connect is a family, compared block by block within tasks of bounded size; only
+   links that join components leave a task, so a large group of loose copies makes few rows.
 4. *Filters and proof.* A pair must have sizes that allow the threshold; the union of both sketches estimates
    the similarity; at last the full sets are compared.
 
@@ -39,10 +41,14 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import connected
 from lectern.llm.workers import blobs, map_arrow
-from lectern.session import materialize
+from lectern.session import discard, materialize
 
 #: Listed documents up to this number are sent to the tasks that make their sets; beyond, a join by shuffle.
 BROADCAST_ROWS = 500_000
+#: Lists up to this length are paired in full.
+SMALL = 32
+#: Shingles in a block of a family; a task compares two blocks.
+BLOCK_ITEMS = 400_000
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 500_000
 
@@ -129,7 +135,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 
 
 def _lists(nodes: DataFrame, s: Settings) -> DataFrame:
-    """(value, node, n): the listed values of each node, those of one node left out."""
+    """(value, node, n, w): the listed values of each node, those of one node left out; w is how common its values are."""
     rows = nodes.select("node", "n", F.explode("sketch").alias("value"))
     counts = rows.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
     shared = rows.join(counts, "value").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "value"))).alias("v"))  # k at most
@@ -137,7 +143,8 @@ def _lists(nodes: DataFrame, s: Settings) -> DataFrame:
     whole = F.col("n") * s.denominator <= s.k * s.numerator  # a partner's set is then retained whole, too
     least = F.when(whole, F.ceil(size * s.numerator / s.denominator)).otherwise(F.least(F.lit(s.least), F.ceil(size * F.lit(s.least / s.k))))
     take = (size - least + 1 - (size - F.size("v"))).cast("int")  # values of one node are the rarest
-    return shared.where(take > 0).select("node", "n", F.explode(F.slice("v", 1, F.greatest(take, F.lit(1)))).alias("x")).select("x.value", "node", "n")
+    common = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    return shared.where(take > 0).select("node", "n", common.alias("w"), F.explode(F.slice("v", 1, F.greatest(take, F.lit(1)))).alias("x")).select("x.value", "node", "n", "w")
 
 
 def _possible(a: Column, b: Column, s: Settings) -> Column:
@@ -161,6 +168,61 @@ def _linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "na", "nb", met.alias("met")).where(f"{s.denominator} * met >= {s.numerator} * (na + nb - met)").select("a", "b")
 
 
+def _families(rest: DataFrame) -> DataFrame:
+    """(node, g, family) of the nodes of ``rest``: families are what the lists connect."""
+    centres = rest.groupBy("value").agg(F.min("node").alias("a"))
+    family = connected(rest.select("value", F.col("node").alias("b")).join(centres, "value").select("a", "b").distinct())
+    return rest.select("node", "g").distinct().join(family, "node").select("node", "g", F.col("component").alias("family"))
+
+
+def _across(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between different components of each family, by full sets, enough to join what links join.
+
+    A family is cut to blocks of about ``BLOCK_ITEMS`` shingles, and each task compares two blocks: the
+    shared shingles of all pairs come from products of 0/1 matrices, and only links that join two
+    components not joined yet leave the task.
+    """
+    full = members.join(sets.withColumnRenamed("node", "k"), F.col("node") == F.col("k")).drop("k")
+    blocks = members.join(sets.select(F.col("node").alias("k"), F.col("n")), F.col("node") == F.col("k")).groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    placed = full.join(blocks.withColumnRenamed("family", "f"), F.col("family") == F.col("f")).drop("f").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "g", "n", "items")
+
+    def compare(batch: pa.Table) -> pa.Table:
+        nodes, g, sets_ = batch.column("node").to_pylist(), batch.column("g").to_pylist(), [np.array(x, dtype=np.int64) for x in batch.column("items").to_pylist()]
+        n = np.array([len(x) for x in sets_])
+        values, place = np.unique(np.concatenate(sets_), return_inverse=True)
+        owner = np.repeat(np.arange(len(n)), n)
+        often = np.bincount(place) > 1
+        place, owner = (np.cumsum(often) - 1)[place[often[place]]], owner[often[place]]
+        order = np.argsort(place, kind="stable")
+        place, owner, width = place[order], owner[order], int(often.sum())
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for at in range(0, len(n), 512):  # rows of the product at a time
+            met = np.zeros((min(512, len(n) - at), len(n)), dtype=np.float32)
+            for first in range(0, width, 2048):  # shingles at a time
+                lo, hi = np.searchsorted(place, [first, first + 2048])
+                m = np.zeros((len(n), min(2048, width - first)), dtype=np.float32)
+                m[owner[lo:hi], place[lo:hi] - first] = 1
+                met += m[at : at + 512] @ m.T
+            near = s.denominator * met >= s.numerator * (n[at : at + 512, None] + n[None, :] - met)
+            for x, y in zip(*np.nonzero(near), strict=True):
+                x += at
+                if x < y and root(g[x]) != root(g[y]):
+                    parent[root(g[x])] = root(g[y])
+                    out.append(tuple(sorted((nodes[x], nodes[y]))))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
 def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable) of each row of ``docs`` (doc_id, text)."""
     s = settings
@@ -173,7 +235,11 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     sets = materialize(_sets(docs, listed.select("doc_id").distinct(), s), "sets")
     listed = materialize(listed.select("node", "sketch"), "listed")
 
-    tried, links = [], []
+    tried, links, scratch = [], [], []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(materialize(df, name))
+        return scratch[-1]
 
     def attempt(pairs: DataFrame) -> None:
         """Try pairs (a < b) that were not tried before; keep the links."""
@@ -190,10 +256,10 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def all_links() -> DataFrame:
         return reduce(DataFrame.union, links)
 
-    centres = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("m")).select("value", F.col("m.node").alias("c"), F.col("m.n").alias("cn"))
+    centres = lists.groupBy("value").agg(F.max(F.struct("w", "node", "n")).alias("m")).select("value", F.col("m.node").alias("c"), F.col("m.n").alias("cn"))
     attempt(lists.join(centres, "value").where((F.col("node") != F.col("c")) & _possible(F.col("n"), F.col("cn"), s)).select(*pair("node", "c")))
     for last in (False, True):
-        known = materialize(connected(all_links()), "components")
+        known = kept(connected(all_links()), "components")
         placed = lists.join(known, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("g"))
         mixed = placed.groupBy("value").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min(F.struct(F.xxhash64("node"), "node", "n", "g")).alias("m")).where("lo <> hi")
         if not last:
@@ -201,13 +267,17 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             near = placed.join(centre, "value").where((F.col("g") != F.col("cg")) & _possible(F.col("n"), F.col("cn"), s))
             attempt(near.select(*pair("node", "c")))
         else:
-            rest = materialize(placed.join(mixed.select("value"), "value", "left_semi"), "unsettled")
-            other = rest.select("value", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("g").alias("g2"))
-            across = rest.join(other, "value").where((F.col("g") < F.col("g2")) & _possible(F.col("n"), F.col("n2"), s))
+            sizes = placed.groupBy("value").agg(F.count("*").alias("c"))
+            rest = kept(placed.join(mixed.select("value").join(sizes, "value"), "value"), "unsettled")
+            short = rest.where(F.col("c") <= SMALL)
+            other = short.select("value", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("g").alias("g2"))
+            across = short.join(other, "value").where((F.col("g") < F.col("g2")) & _possible(F.col("n"), F.col("n2"), s))
             attempt(across.select(*pair("node", "node2")))
+            links.append(materialize(_across(kept(_families(rest.where(F.col("c") > SMALL)), "families"), sets, s), "links"))
     classes = connected(all_links())
     named = nodes.select("node", "doc_id").join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("g"))
     named = materialize(named, "classes")
+    discard(nodes, lists, sets, listed, *tried, *links, *scratch)
     names = named.groupBy("g").agg(F.min("doc_id").alias("component_id"))
     label = named.join(names, "g").select("node", "component_id")
     out = sketched.select("doc_id", "n", "node").join(label, "node", "left")
