@@ -4,7 +4,7 @@ A line is the set of its distinct words; two match if the Jaccard similarity of
 threshold. A line is removed if any line before it (by doc_id, then place) matches it, removed or not.
 Lines without words stay. Everything is DataFrame operations:
 
-1. *Rarity.* Words are counted over all documents in ``2**16`` hash buckets; a word's rank is its bucket's
+1. *Rarity.* Words are counted over all documents in ``2**20`` hash buckets; a word's rank is its bucket's
    count on a logarithmic scale. Any common order keeps the join exact; a good one keeps it small.
 2. *Sets.* Each line's words are ordered by rank, then hash. Lines with equal sets meet in an aggregate
    (two 64-bit digests), so exact copies, however many, are one set with a first line.
@@ -13,7 +13,7 @@ Lines without words stay. Everything is DataFrame operations:
 4. *Pairs.* Sets that share a listed word are paired if their sizes and the word's positions allow the
    threshold. Lists of up to ``SMALL`` sets are paired in full. A longer list is first a star around its earliest line;
    then only sets not yet known to be removed are paired with all of their list. Nothing is left out.
-5. *Proof.* Full sets of 64-bit word hashes are compared. They are made again for listed lines only.
+5. *Proof.* Full sets of 64-bit word hashes are compared. They are made again for paired lines only.
 
 The joins are sort-merge joins that adaptive execution may split. Tables between steps go to the shared folder.
 
@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.native import let, words
-from lectern.session import materialize
+from lectern.session import discard, materialize
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 #: Lists up to this length are paired in full.
 SMALL = 32
 #: Documents with listed lines up to this number are broadcast to the scan; beyond, a join by shuffle.
@@ -58,13 +58,12 @@ def _ranks(docs: DataFrame) -> Column:
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     ranked = every.join(counts, "bucket", "left").select("bucket", F.floor(8 * F.log2(F.coalesce("c", F.lit(0)) + 1)).cast("int").alias("rank"))
     listed = ranked.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "rank"))), lambda x: x["rank"]), ",").alias("ranks"))
-    return F.split(F.lit(listed.first()["ranks"]), ",").cast("array<int>")  # folded when the query is planned
+    return F.split(F.lit(listed.first()["ranks"]), ",").cast("array<bigint>")  # folded when the query is planned
 
 
 def _key(ranks: Column, h: Column) -> Column:
     """Rank in the upper bits, 48 bits of the hash below."""
-    rank = F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    return F.shiftleft(rank.cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+    return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
 
 def _keys(ranks: Column, line: Column) -> Column:
@@ -105,7 +104,7 @@ def _allowed(n: Column, p: Column, m: Column, q: Column, s: Settings) -> Column:
     return lengths & (F.least(n - p, m - q) >= _met(n, m, s))
 
 
-def _listed_sets(docs: DataFrame, ranks: Column, wanted: DataFrame) -> DataFrame:
+def _paired_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """h1, h2, first and the 64-bit word hashes of the sets in ``wanted`` (h1, h2, first)."""
     places = wanted.groupBy(F.col("first.doc_id").alias("d"), F.col("first.t").alias("dt")).agg(F.collect_list(F.struct("first.line", "h1", "h2")).alias("places"))  # a document's lines
     places = materialize(places, "places")
@@ -142,27 +141,33 @@ def _removed(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
     # a prefix word: key, set, and size and place in one number
     listed = sets.where("n > 1").select("h1", "n", F.posexplode("prefix").alias("p", "key")).select("key", "h1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
-    listed = materialize(listed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"), "listed")
+    listed = listed_table = materialize(listed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"), "listed")
     listed = listed.select("key", "h1", "c", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p"))
     other = listed.select("key", F.col("h1").alias("o1"), F.col("n").alias("m"), F.col("p").alias("q"))
     allowed = _allowed(F.col("n"), F.col("p"), F.col("m"), F.col("q"), s)
     pair = (F.least("h1", "o1").alias("a"), F.greatest("h1", "o1").alias("b"))
 
-    wanted = sets.join(listed.select("h1").distinct(), "h1", "left_semi").select("h1", "h2", "first")
-    full = materialize(_listed_sets(docs, ranks, wanted), "listed-sets")
+    def proved(pairs: DataFrame) -> DataFrame:
+        """The later set of each pair that matches, by the full sets of the paired lines."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+        full = materialize(_paired_sets(docs, sets.join(ids, "h1", "left_semi").select("h1", "h2", "first")), "paired-sets")
+        found = materialize(_later(pairs, full, s), "later")
+        discard(full)
+        return found
 
     small = listed.where(f"c <= {SMALL}")
     near = small.join(other, "key").where((F.col("h1") < F.col("o1")) & allowed).select(*pair)
-    long = listed.where(f"c > {SMALL}").join(full.select("h1", "first"), "h1")
-    long = materialize(long, "long-lists")
+    long = materialize(listed.where(f"c > {SMALL}").join(sets.select("h1", "first"), "h1"), "long-lists")
     centre = long.groupBy("key").agg(F.min(F.struct("first", "h1", "n", "p")).alias("x")).select("key", F.col("x.h1").alias("o1"), F.col("x.n").alias("m"), F.col("x.p").alias("q"))
     star = long.join(centre, "key").where((F.col("h1") != F.col("o1")) & allowed).select(*pair)
     tried = materialize(near.union(star).distinct(), "pairs")
-    gone = materialize(_later(tried, full, s), "later")
+    gone = proved(tried)
     open_ = long.join(gone.select("h1").distinct(), "h1", "left_anti")
     before = long.select("key", F.col("h1").alias("o1"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("first").alias("of"))
     rest = open_.join(before, "key").where((F.col("of") < F.col("first")) & allowed).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
-    gone = gone.union(_later(materialize(rest, "pairs"), full, s)).distinct()
+    rest = materialize(rest, "pairs")
+    gone = gone.union(proved(rest)).distinct()
+    discard(listed_table, long, tried, rest)
 
     # per set: whether all its lines go, else all but the first; sets that lose none are not joined
     fate = sets.select("h1", "h2", "first", "last").join(gone.withColumn("all", F.lit(True)), ["h1", "h2"], "left").where("all or first <> last")

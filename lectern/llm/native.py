@@ -18,7 +18,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order; none for null."""
-    return F.coalesce(F.filter(F.split(text, BLANKS), lambda w: w != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, BLANKS), ""), F.array().cast("array<string>"))
 
 
 def total(values: Column) -> Column:
