@@ -4,8 +4,11 @@ A rule votes good (1) or bad (-1) or abstains (0). The model has the share ``p``
 two accuracies a rule: how often its votes on good documents say good, and its votes on bad ones bad.
 Expectation-maximisation runs over the counts of vote patterns (at most three to the number of rules,
 whatever the corpus), as one fold in SQL; the posterior probability of good replaces a filter that
-asks all rules to pass. A rule's accuracies are kept better than chance, so that "bad" cannot come to mean
-some other split of the corpus.
+asks all rules to pass.
+
+Votes that only one rule casts leave the model open: a bad class, or a careless rule. So rules are taken to
+be careful with good documents: each starts with as many imagined right votes (at the accuracy in
+``START``) as there are documents. Accuracies are also kept better than chance. Both hold at any size.
 
 Documents that fail the base test (under 10 words, or over a fifth of the words in repeated five-word
 windows) are rejected without a vote, and are not fitted.
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.native import let, words
-from lectern.session import materialize
+from lectern.session import discard, materialize
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -155,8 +158,9 @@ def fit(measured: DataFrame) -> Trust:
         def update(w: Column) -> Column:
             share = lambda up, of: F.least(F.lit(HIGH), F.greatest(F.lit(LOW), (up + PSEUDO) / (of + 2 * PSEUDO)))
             plus = lambda f: F.aggregate(w, zero, lambda s, x: s + f(x))
+            all_ = plus(lambda x: x["n"])
             good = [
-                F.greatest(F.lit(0.5), share(plus(lambda x, j=j: F.when(x["votes"][j] == 1, x["r"]).otherwise(zero)), plus(lambda x, j=j: F.when(x["votes"][j] != 0, x["r"]).otherwise(zero))))
+                F.greatest(F.lit(0.5), share(START[1] * all_ + plus(lambda x, j=j: F.when(x["votes"][j] == 1, x["r"]).otherwise(zero)), all_ + plus(lambda x, j=j: F.when(x["votes"][j] != 0, x["r"]).otherwise(zero))))
                 for j in range(k)
             ]
             bad = [
@@ -187,7 +191,9 @@ def verdicts(measured: DataFrame, trust: Trust) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    trust = fit(materialize(measure(docs), "votes"))
+    measured = materialize(measure(docs), "votes")
+    trust = fit(measured)
+    discard(measured)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     judged = _with_votes(docs.select(row.alias("row"), _measured(text).alias("m")).select("row", "m.*"))
@@ -208,7 +214,7 @@ def oracle_sql() -> str:
     share = lambda up, of: f"least({HIGH}, greatest({LOW}, (coalesce({up}, 0) + {PSEUDO}) / (coalesce({of}, 0) + {2 * PSEUDO})))"
     steps = [f"em0 AS (SELECT {START[0]}::DOUBLE AS p, " + ", ".join(f"{START[1]}::DOUBLE AS g{j}, {START[2]}::DOUBLE AS b{j}" for j in range(k)) + ")"]
     for t in range(ITERATIONS):
-        good = ", ".join(f"greatest(0.5, {share(f'sum(r) FILTER (v{j} = 1)', f'sum(r) FILTER (v{j} <> 0)')}) AS g{j}, {share(f'sum(n - r) FILTER (v{j} = -1)', f'sum(n - r) FILTER (v{j} <> 0)')} AS c{j}" for j in range(k))
+        good = ", ".join(f"greatest(0.5, {share(f'{START[1]} * sum(n) + coalesce(sum(r) FILTER (v{j} = 1), 0)', f'sum(n) + coalesce(sum(r) FILTER (v{j} <> 0), 0)')}) AS g{j}, {share(f'sum(n - r) FILTER (v{j} = -1)', f'sum(n - r) FILTER (v{j} <> 0)')} AS c{j}" for j in range(k))
         steps.append(
             f"w{t} AS (SELECT n, {v}, n * {r} AS r FROM patterns, em{t}), m{t} AS (SELECT {share('sum(r)', 'sum(n)')} AS p, {good} FROM w{t}), "
             f"em{t + 1} AS MATERIALIZED (SELECT p, " + ", ".join(f"g{j}, greatest(1 - g{j}, c{j}) AS b{j}" for j in range(k)) + f" FROM m{t})"
