@@ -13,6 +13,9 @@ be careful with good documents: each starts with as many imagined right votes (a
 Documents that fail the base test (under 10 words, or over a fifth of the words in repeated five-word
 windows) are rejected without a vote, and are not fitted.
 
+Counts are of the whole text. Variety is the mean share of distinct words over blocks of ``BLOCK`` words that cover
+the text (the last one ends with the text, so all blocks are equally long); a shorter text is one block.
+
 Everything is a projection but for the pattern counts, whose shuffle is of bounded size.
 
 Defined results: null text is an empty text and fails the base test; rows that repeat are judged each on
@@ -33,6 +36,8 @@ from lectern.session import discard, materialize
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Words in a block of the variety rule.
+BLOCK = 400
 ITERATIONS = 25
 #: Share of good documents and accuracies on good and bad ones before the first step.
 START = (0.9, 0.999, 0.25)
@@ -83,6 +88,18 @@ def _repeated(w: Column) -> Column:
     return F.when(F.size(w) <= WINDOW, blank).when(unlike, blank).otherwise(exact)
 
 
+def _distinct(w: Column) -> Column:
+    """Mean number of distinct words of the blocks that cover the text."""
+
+    def of(i: Column) -> Column:
+        first = F.least(i * BLOCK, F.greatest(F.size(w) - BLOCK, F.lit(0)))
+        return F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), F.least(F.size(w), F.lit(BLOCK)) - 1), lambda j: F.get(w, first + j))))
+
+    blocks = F.ceil(F.size(w) / BLOCK).cast("int")
+    sums = F.aggregate(F.sequence(F.lit(0), blocks - 1), F.lit(0).cast("long"), lambda a, i: a + of(i))
+    return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(sums / blocks)
+
+
 def _measured(text: Column) -> Column:
     """A struct of counts of one text."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -95,7 +112,7 @@ def _measured(text: Column) -> Column:
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             _repeated(w).alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
-            F.size(F.array_distinct(F.slice(w, 1, 400))).cast("long").alias("n_distinct"),
+            _distinct(w).alias("n_distinct"),
             F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
             F.regexp_count(text, F.lit("[!?]{2}")).cast("long").alias("n_marks"),
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 from collections import Counter
 
@@ -54,6 +55,20 @@ def test_rules_keep_clean_and_reject_junk(spark):
     assert kept == {i for i, _ in clean}
 
 
+def test_variety_reads_the_whole_text(spark):
+    rng = random.Random(3)
+    clean, poor = [f"w{i}" for i in range(2400)], [rng.choice("abcdefgh") for _ in range(4000)]
+    texts = [clean[:400] + poor, poor[:400] + clean, clean[:30], clean[:401], poor[:950], clean[:400] + poor[:1]]
+    got = {r.doc_id: r for r in quality_rules.measure(documents(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])).collect()}
+    place = [name for name, *_ in quality_rules.RULES].index("variety")
+    for i, w in enumerate(texts):
+        n = min(len(w), 400)
+        starts = [min(k, len(w) - n) for k in range(0, len(w), 400)]
+        assert got[i].n_distinct == pytest.approx(sum(len(set(w[k : k + n])) for k in starts) / len(starts))
+    failed_or_bad = lambda r: r.base_failed or r.votes[place] == -1
+    assert failed_or_bad(got[0]) and got[1].votes[place] == 1 and got[3].votes[place] == 1
+
+
 def test_components(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "x")]
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a string, b string")).collect()}
