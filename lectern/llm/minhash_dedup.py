@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lectern.llm.components import connected
 from lectern.llm.workers import blobs, map_arrow
@@ -223,9 +224,8 @@ def _across(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
-def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable) of each row of ``docs`` (doc_id, text)."""
-    s = settings
+def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, n, node, g (the component's smallest node) and component_id of each row; the last three null for an empty set."""
     sketched = materialize(_sketches(docs, s), "sketches")
     nodes = materialize(
         sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes"
@@ -279,8 +279,13 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     named = materialize(named, "classes")
     discard(nodes, lists, sets, listed, *tried, *links, *scratch)
     names = named.groupBy("g").agg(F.min("doc_id").alias("component_id"))
-    label = named.join(names, "g").select("node", "component_id")
-    out = sketched.select("doc_id", "n", "node").join(label, "node", "left")
+    label = named.join(names, "g").select("node", "g", "component_id")
+    return sketched.select("doc_id", "n", "node").join(label, "node", "left")
+
+
+def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable) of each row of ``docs`` (doc_id, text)."""
+    out = _grouped(docs, settings)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -289,12 +294,46 @@ def judge(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return groups(docs, settings).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _with_nodes(docs: DataFrame, s: Settings) -> DataFrame:
+    """row (all columns of ``docs``), id and node of each row."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
+    schema = StructType([rows.schema["row"], rows.schema["id"], StructField("node", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x, s.width) for x in blobs(batch.column(2))]
+            nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes], ["row", "id", "node"])
+
+    return map_arrow(rows, run, schema)
+
+
 def keep(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` but for documents that another one of their group stands for."""
-    gone = materialize(judge(docs, settings).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "copies")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
+    """The rows of ``docs`` with an empty set, and of each component those of its first document.
+
+    That is the smallest ``doc_id`` and its smallest digest; rows that repeat both are one document. Rows with a null
+    ``doc_id`` are documents of their own: one stays, and only if its component has no other. An id whose rows differ
+    in their fate has its rows' digests made once more; all others are decided by their id alone.
+    """
+    rows = materialize(_grouped(docs, settings), "groups")
+    first = rows.where("n > 0").groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "node")).alias("f"))
+    first = materialize(first.select(F.col("f.doc_id").alias("first_id"), F.col("f.node").alias("first_node")), "first")
+    stands = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("first_node"))
+    fate = rows.join(first, stands, "left").groupBy("doc_id", "node").agg(F.count("*").alias("c"), F.max(F.col("first_node").isNotNull() | F.col("node").isNull()).alias("stays"))
+    again = F.col("doc_id").isNull() & F.col("node").isNotNull() & (F.col("c") > 1)
+    ids = fate.groupBy("doc_id").agg(F.max(~F.col("stays") | again).alias("some"), F.max("stays").alias("stays")).where("some")
+    gone = "gone" + "_" * max(map(len, docs.columns), default=0)  # no column of docs
+    ids = materialize(ids.select(F.col("doc_id").alias(gone), F.col("stays").alias("mixed")), "copies")
+    few = ids.count() <= BROADCAST_ROWS
+    is_id = F.col("doc_id").cast("long").eqNullSafe(F.col(gone))
+    out = docs.join(F.broadcast(ids.select(gone)) if few else ids.select(gone), is_id, "left_anti")
+    mixed = ids.where("mixed").select(gone)
+    if mixed.isEmpty():
+        return out
+    named = _with_nodes(docs.join(F.broadcast(mixed) if few else mixed, is_id, "left_semi"), settings)
+    left = named.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("first_node")), "left_semi")
+    single = left.where("id is null").groupBy("node").agg(F.first("row").alias("row"))
+    return reduce(DataFrame.union, [out, *[x.select("row.*") for x in (named.where("node is null"), left.where("id is not null"), single)]])
 
 
 def oracle_sql(width: int = 5, numerator: int = 80, denominator: int = 100) -> str:

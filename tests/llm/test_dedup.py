@@ -86,6 +86,16 @@ def test_groups_of_awkward_rows(spark):
     assert minhash_dedup.judge(df.where("false")).count() == 0
 
 
+def test_copies_are_removed_by_row(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(7, a), (None, a), (None, b), (None, None), (3, c), (5, c), (5, d), (None, e), (None, e.upper()), (None, e + " more"), (8, None), (9, e[:-4] + " x y")]
+    got = sorted(((r.doc_id or 0, (r.text or "").lower()) for r in minhash_dedup.keep(clashing(documents(spark, rows), "node", "row", "id", "gone")).collect()))
+    assert got == sorted([(7, a), (0, b), (0, ""), (3, c), (5, d), (8, ""), (9, e[:-4] + " x y")])
+    only_null = [(None, e), (None, e), (None, e + " more"), (None, b), (5, a), (5, a + " more")]
+    got = [(r.doc_id, r.text.split()[0][0]) for r in minhash_dedup.keep(documents(spark, only_null)).collect()]
+    assert sorted(got, key=str) == [(5, "a"), (None, "b"), (None, "e")]
+
+
 def brute_lines(rows, threshold=(80, 100)):
     seen, out = [], {}
     for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
