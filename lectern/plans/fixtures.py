@@ -126,8 +126,12 @@ NOISY_SQL = LINES_SQL + ", noisy AS (SELECT doc_id, pos, line AS ref, replace(li
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines(spark, sf_dir).where((F.length("line") <= 400) & ~F.col("line").rlike(r"[^\x00-\x7F]"))
-    return found.select("doc_id", "pos", F.col("line").alias("ref"), F.replace("line", F.lit("e"), F.lit("")).alias("pred"))
+    return noisy_whole(spark, sf_dir).where((F.length("ref") <= 400) & ~F.col("ref").rlike(r"[^\x00-\x7F]"))
+
+
+def noisy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line, and the same without the letter e."""
+    return lines(spark, sf_dir).select("doc_id", "pos", F.col("line").alias("ref"), F.replace("line", F.lit("e"), F.lit("")).alias("pred"))
 
 
 CHUNKS_SQL = "chunks AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, source AS title, lang AS section, text, [lang, CASE WHEN n_chars < 1000 THEN 'Short' ELSE 'Long' END] AS tags FROM documents)"

@@ -37,6 +37,24 @@ def recognizer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.recognizer_metrics(fx.noisy(spark, sf_dir), "ref", "pred")
 
 
+@query()
+def cer_corpus_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all lines; ``cer_corpus`` and its SQL take ASCII lines of at most 400 characters."""
+    return metrics.corpus_cer(fx.noisy_whole(spark, sf_dir), "ref", "pred")
+
+
+@query()
+def cer_benchmark_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all lines; ``cer_benchmark`` and its SQL take ASCII lines of at most 400 characters."""
+    return metrics.benchmark_cer(fx.noisy_whole(spark, sf_dir), "ref", "pred")
+
+
+@query()
+def recognizer_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all lines; ``recognizer_metrics`` and its SQL take ASCII lines of at most 400 characters."""
+    return metrics.recognizer_metrics(fx.noisy_whole(spark, sf_dir), "ref", "pred")
+
+
 @query(f"WITH {fx.GUESS_SQL}, l AS (SELECT lang AS label FROM guessed UNION SELECT guess FROM guessed), f AS (SELECT label, 2.0 * count(*) FILTER (lang = label AND guess = label) / (count(*) FILTER (lang = label) + count(*) FILTER (guess = label)) AS f1 FROM l, guessed WHERE lang = label OR guess = label GROUP BY label) SELECT count(*) AS labels, avg(f1) AS macro_f1 FROM f")
 def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.macro_f1(fx.guessed(spark, sf_dir), "lang", "guess")
