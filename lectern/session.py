@@ -36,16 +36,21 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "lectern") -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI without a trailing slash."""
+    """The folder that driver and executors share, as a URI without a trailing slash.
+
+    A place without a scheme is one of Hadoop's default file system. Without the setting, only a local session gets a
+    folder of this machine: executors elsewhere would each write to their own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-        found = _own_dirs[app]
-    if "://" not in found and not found.startswith("file:"):
-        found = f"file://{os.path.abspath(found)}"
-    return found.rstrip("/")
+        context = spark.sparkContext
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _own_dirs:
+            _own_dirs[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+        return _own_dirs[context.applicationId]
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -53,18 +58,24 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, plan_chars: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    The files survive lost executors, and a later reader may prune columns.
+    The files survive lost executors, and a later reader may prune columns. ``plan_chars`` bounds the text of the plan that
+    the driver keeps, for plans with a large constant.
     """
     spark, path = df.sparkSession, work_dir(df.sparkSession, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table is what later steps read
+    wanted = {SHUFFLE_CLEANUP: "true"}  # the table is what later steps read
+    if plan_chars is not None:
+        wanted["spark.sql.maxPlanStringLength"] = str(plan_chars)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.lectern_path = path
     return table
