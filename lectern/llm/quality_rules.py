@@ -6,21 +6,22 @@ Expectation-maximisation runs over the counts of vote patterns (at most three to
 whatever the corpus), as one fold in SQL; the posterior probability of good replaces a filter that
 asks all rules to pass.
 
-Votes that only one rule casts leave the model open: a bad class, or a careless rule. So rules are taken to
-be careful with good documents: each starts with as many imagined right votes (at the accuracy in
-``START``) as there are documents. Accuracies are also kept better than chance. Both hold at any size.
+Every estimate starts from, and is pulled to, the values in ``START`` with the weight of ``PSEUDO`` votes. That
+weight is fixed, so a corpus of any size outweighs it; ``LOW`` and ``HIGH`` bound what one rule's vote can say, so
+that fits to a small and a large corpus of one kind agree. Accuracies are kept better than chance.
 
 Documents that fail the base test (under 10 words, or over a fifth of the words in repeated five-word
 windows) are rejected without a vote, and are not fitted.
 
-Counts are of the whole text. Variety is the mean share of distinct words over blocks of ``BLOCK`` words that cover
-the text (the last one ends with the text, so all blocks are equally long); a shorter text is one block.
+Counts are of the whole text, however long. Variety is the mean share of distinct words over blocks of ``BLOCK`` words that
+cover the text (the last one ends with the text, so all blocks are equally long); a shorter text is one block.
 
-Everything is a projection but for the pattern counts, whose shuffle is of bounded size.
+Each text is measured once: counts and votes are written beside the row, and verdicts are made from that table. Only
+the pattern counts are shuffled, and their number is bounded.
 
 Defined results: null text is an empty text and fails the base test; rows that repeat are judged each on
-their own; a null ``doc_id`` stays null; an empty table gives no rows; other columns are ignored (or
-kept as they are by ``keep``).
+their own; documents with equal votes have equal verdicts, and a posterior of just a half is kept; a null ``doc_id`` stays
+null; an empty table gives no rows; other columns are ignored (or kept as they are by ``keep``, whatever their names).
 """
 
 from __future__ import annotations
@@ -40,19 +41,25 @@ WINDOW = 5
 BLOCK = 400
 ITERATIONS = 25
 #: Share of good documents and accuracies on good and bad ones before the first step.
-START = (0.9, 0.999, 0.25)
-#: Pseudo-votes on either side, and bounds of every estimate.
-PSEUDO, LOW, HIGH = 1.0, 0.001, 0.999
+START = (0.9, 0.95, 0.5)
+#: Votes that the start counts for, and bounds of every estimate.
+PSEUDO, LOW, HIGH = 10.0, 0.002, 0.998
 
+#: Words that are a mark of a list or table, and marks that end a word.
+BARE = "|-*•–—"
+ENDS = ".,;:!?"
 #: Rule: name, measure, good up to, bad from. Between, or if the measure is null, the rule abstains.
 RULES = (
     ("symbols", "n_symbols / n_words", 0.05, 0.3),
+    ("bare", "n_bare / n_words", 0.1, 0.3),
+    ("stutter", "n_stutter / n_words", 0.03, 0.2),
+    ("variety", "1 - n_distinct / least(n_words, 400)", 0.3, 0.42),
+    ("ends", "1 - n_ends / n_words", 0.92, 0.95),
+    ("length", "abs(word_chars / n_words - 6)", 1.2, 1.6),
     ("capitals", "n_capitals / word_chars", 0.15, 0.3),
     ("marks", "n_marks / n_words", 0.05, 0.2),
-    ("repeats", "n_repeat_words / n_words", 0.05, 0.18),
-    ("lines", "n_dup_lines / nullif(n_lines, 0)", 0.1, 0.6),
-    ("variety", "1 - n_distinct / least(n_words, 400)", 0.6, 0.85),
-    ("length", "abs(word_chars / n_words - 6)", 3.0, 5.0),
+    ("repeats", "n_repeat_words / n_words", 0.05, 0.15),
+    ("lines", "n_dup_lines / nullif(n_lines, 0)", 0.1, 0.4),
 )
 
 
@@ -103,8 +110,16 @@ def _distinct(w: Column) -> Column:
 def _measured(text: Column) -> Column:
     """A struct of counts of one text."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
 
     def of(w: Column) -> Column:
+        same = F.filter(w, lambda x, i: x == F.get(w, i - 1))
+
+        def marks(j: Column) -> Column:
+            """Counted by what is gone without them: each word has a blank on either side of its own."""
+            gone = lambda x: (F.octet_length(j) - F.octet_length(F.replace(j, F.lit(x), F.lit("")))) / len(x.encode())
+            return F.struct(*[sum((gone(f"{blank}{x} ") for x in some), F.lit(0.0)).cast("long").alias(name) for name, blank, some in (("n_bare", " ", BARE), ("n_ends", "", ENDS))])
+
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -113,17 +128,20 @@ def _measured(text: Column) -> Column:
             _repeated(w).alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
             _distinct(w).alias("n_distinct"),
-            F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
-            F.regexp_count(text, F.lit("[!?]{2}")).cast("long").alias("n_marks"),
+            F.size(same).cast("long").alias("n_stutter"),
+            let(F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" ")), marks).alias("marks"),
+            count(r"\p{Lu}").alias("n_capitals"),
+            count("[!?]{2}").alias("n_marks"),
         )
 
     return let(words(text), of)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of each whole text, base_failed and the rules' votes."""
+def measure(docs: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id (or the whole row as a struct), the counts of each whole text, base_failed and the rules' votes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _measured(text).alias("m")).select("doc_id", "m.*")
+    first = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if row else F.col("doc_id").cast("long").alias("doc_id")
+    counted = docs.select(first, _measured(text).alias("m")).select("row" if row else "doc_id", "m.*").select("*", "marks.*").drop("marks")
     return _with_votes(counted)
 
 
@@ -156,9 +174,9 @@ def _posterior(p: Column, good: list[Column], bad: list[Column], votes: Column)
     return is_good / (is_good + is_bad)
 
 
-def fit(measured: DataFrame) -> Trust:
-    """EM over the vote patterns of the documents that pass the base test."""
-    k = len(RULES)
+def fit(measured: DataFrame, rules: int = len(RULES)) -> Trust:
+    """EM over the vote patterns of the documents that pass the base test (base_failed, votes of ``rules`` rules)."""
+    k = rules
     patterns = (
         measured.where("not base_failed").groupBy("votes").agg(F.count("*").cast("double").alias("n"))
         .agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("patterns"))
@@ -173,20 +191,21 @@ def fit(measured: DataFrame) -> Trust:
         )
 
         def update(w: Column) -> Column:
-            share = lambda up, of: F.least(F.lit(HIGH), F.greatest(F.lit(LOW), (up + PSEUDO) / (of + 2 * PSEUDO)))
+            share = lambda up, of, prior: F.least(F.lit(HIGH), F.greatest(F.lit(LOW), (up + PSEUDO * prior) / (of + PSEUDO)))
             plus = lambda f: F.aggregate(w, zero, lambda s, x: s + f(x))
-            all_ = plus(lambda x: x["n"])
             good = [
-                F.greatest(F.lit(0.5), share(START[1] * all_ + plus(lambda x, j=j: F.when(x["votes"][j] == 1, x["r"]).otherwise(zero)), all_ + plus(lambda x, j=j: F.when(x["votes"][j] != 0, x["r"]).otherwise(zero))))
+                F.greatest(F.lit(0.5), share(plus(lambda x, j=j: F.when(x["votes"][j] == 1, x["r"]).otherwise(zero)), plus(lambda x, j=j: F.when(x["votes"][j] != 0, x["r"]).otherwise(zero)), START[1]))
                 for j in range(k)
             ]
             bad = [
-                share(plus(lambda x, j=j: F.when(x["votes"][j] == -1, x["n"] - x["r"]).otherwise(zero)), plus(lambda x, j=j: F.when(x["votes"][j] != 0, x["n"] - x["r"]).otherwise(zero)))
+                share(plus(lambda x, j=j: F.when(x["votes"][j] == -1, x["n"] - x["r"]).otherwise(zero)), plus(lambda x, j=j: F.when(x["votes"][j] != 0, x["n"] - x["r"]).otherwise(zero)), START[2])
                 for j in range(k)
             ]
             return let(
                 F.array(*good),
-                lambda g: F.struct(share(plus(lambda x: x["r"]), plus(lambda x: x["n"])).alias("p"), g.alias("good"), F.array(*[F.greatest(F.lit(1.0) - g[j], b) for j, b in enumerate(bad)]).alias("bad")),
+                lambda g: F.struct(
+                    share(plus(lambda x: x["r"]), plus(lambda x: x["n"]), START[0]).alias("p"), g.alias("good"), F.array(*[F.greatest(F.lit(1.0) - g[j], b) for j, b in enumerate(bad)]).alias("bad")
+                ),
             )
 
         return let(weighed, update)
@@ -207,14 +226,13 @@ def verdicts(measured: DataFrame, trust: Trust) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    measured = materialize(measure(docs), "votes")
-    trust = fit(measured)
-    discard(measured)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = _with_votes(docs.select(row.alias("row"), _measured(text).alias("m")).select("row", "m.*"))
-    return verdicts(judged, trust).where("kept").select("row.*")
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    The rows are stored with their votes: a filter over the measurement itself would be pushed below it and take a copy of
+    it for each place where a count is used.
+    """
+    measured = materialize(measure(docs, row=True).select("row", "base_failed", "votes"), "votes")
+    return verdicts(measured, fit(measured)).where("kept").select("row.*")
 
 
 def oracle_sql() -> str:
@@ -228,12 +246,14 @@ def oracle_sql() -> str:
         "((1 - p) * " + " * ".join(f"(CASE v{j} WHEN 1 THEN 1 - b{j} WHEN -1 THEN b{j} ELSE 1 END)" for j in range(k)) + ")",
     )
     r = f"({posterior[0]} / ({posterior[0]} + {posterior[1]}))"
-    share = lambda up, of: f"least({HIGH}, greatest({LOW}, (coalesce({up}, 0) + {PSEUDO}) / (coalesce({of}, 0) + {2 * PSEUDO})))"
+    share = lambda up, of, prior: f"least({HIGH}, greatest({LOW}, (coalesce({up}, 0) + {PSEUDO * prior}) / (coalesce({of}, 0) + {PSEUDO})))"
     steps = [f"em0 AS (SELECT {START[0]}::DOUBLE AS p, " + ", ".join(f"{START[1]}::DOUBLE AS g{j}, {START[2]}::DOUBLE AS b{j}" for j in range(k)) + ")"]
     for t in range(ITERATIONS):
-        good = ", ".join(f"greatest(0.5, {share(f'{START[1]} * sum(n) + coalesce(sum(r) FILTER (v{j} = 1), 0)', f'sum(n) + coalesce(sum(r) FILTER (v{j} <> 0), 0)')}) AS g{j}, {share(f'sum(n - r) FILTER (v{j} = -1)', f'sum(n - r) FILTER (v{j} <> 0)')} AS c{j}" for j in range(k))
+        good = ", ".join(
+            f"greatest(0.5, {share(f'sum(r) FILTER (v{j} = 1)', f'sum(r) FILTER (v{j} <> 0)', START[1])}) AS g{j}, {share(f'sum(n - r) FILTER (v{j} = -1)', f'sum(n - r) FILTER (v{j} <> 0)', START[2])} AS c{j}" for j in range(k)
+        )
         steps.append(
-            f"w{t} AS (SELECT n, {v}, n * {r} AS r FROM patterns, em{t}), m{t} AS (SELECT {share('sum(r)', 'sum(n)')} AS p, {good} FROM w{t}), "
+            f"w{t} AS (SELECT n, {v}, n * {r} AS r FROM patterns, em{t}), m{t} AS (SELECT {share('sum(r)', 'sum(n)', START[0])} AS p, {good} FROM w{t}), "
             f"em{t + 1} AS MATERIALIZED (SELECT p, " + ", ".join(f"g{j}, greatest(1 - g{j}, c{j}) AS b{j}" for j in range(k)) + f" FROM m{t})"
         )
     return f"""
@@ -243,7 +263,9 @@ win AS (SELECT row_id, unnest(list_transform(range(1, len(w) - 3), lambda i: {{'
 twice AS (SELECT row_id, i FROM (SELECT row_id, x.i AS i, count(*) OVER (PARTITION BY row_id, x.s) AS c FROM win) WHERE c > 1),
 covered AS (SELECT row_id, sum(n)::BIGINT AS n_repeat_words FROM (SELECT row_id, least({WINDOW}, i - coalesce(lag(i) OVER (PARTITION BY row_id ORDER BY i), -{WINDOW})) AS n FROM twice) GROUP BY row_id),
 m AS (SELECT cut.row_id, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols,
-  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_distinct(w[1:400])) AS n_distinct,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+  coalesce(list_avg(list_transform(range(0, len(w), {BLOCK}), lambda i: len(list_distinct(w[least(i, greatest(len(w) - {BLOCK}, 0)) + 1:least(i, greatest(len(w) - {BLOCK}, 0)) + {BLOCK}])))), 0) AS n_distinct,
+  len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter, len(list_filter(w, lambda x: length(x) = 1 AND contains('{BARE}', x))) AS n_bare, len(list_filter(w, lambda x: contains('{ENDS}', right(x, 1)))) AS n_ends,
   len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(text, '[!?]{{2}}')) AS n_marks FROM cut LEFT JOIN covered USING (row_id)),
 base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 voted AS (SELECT *, {votes} FROM base WHERE NOT base_failed),
