@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lectern.llm.components import connected
-from lectern.llm.workers import blobs, map_arrow
+from lectern.llm.workers import Remembered, blobs, map_arrow, own
 from lectern.session import discard, materialize
 
 #: Listed documents up to this number are sent to the tasks that make their sets; beyond, a join by shuffle.
@@ -50,7 +50,7 @@ BROADCAST_ROWS = 500_000
 SMALL = 32
 #: Shingles in a block of a family; a task compares two blocks.
 BLOCK_ITEMS = 400_000
-#: Word hashes that a worker remembers.
+#: Hashes of short words that a worker remembers.
 CACHE_WORDS = 500_000
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -68,13 +68,7 @@ class Settings:
     least: int = 36
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
+_hashes = Remembered(xxhash.xxh64_intdigest, CACHE_WORDS)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -90,8 +84,6 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
     m = min(width, n)
     total = np.full(n - m + 1, 0 if n >= width else n, dtype=np.uint64)
@@ -106,6 +98,7 @@ def _sketches(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, n, node (digest of the set; null if empty), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("shingles", _hashes.clear)
         for batch in batches:
             sets = [shingle_set(x, s.width) for x in blobs(batch.column(1))]
             columns = [
@@ -123,6 +116,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """node, n and the whole set of the documents whose doc_id is in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("shingles", _hashes.clear)
         for batch in batches:
             sets = [x for x in (shingle_set(x, s.width) for x in blobs(batch.column(0))) if len(x)]
             columns = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
@@ -300,6 +294,7 @@ def _with_nodes(docs: DataFrame, s: Settings) -> DataFrame:
     schema = StructType([rows.schema["row"], rows.schema["id"], StructField("node", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("shingles", _hashes.clear)
         for batch in batches:
             sets = [shingle_set(x, s.width) for x in blobs(batch.column(2))]
             nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())

@@ -4,9 +4,9 @@ Each task tokenizes the rows of its input partition and packs them in blocks of
 no shuffle is needed and memory does not grow with the input. In a block:
 
 * a document longer than a sequence first gives whole sequences;
-* the block's token total fixes the sequences: as many of ``capacity`` tokens as it fills, and for
-  the remaining tokens one sequence for each power of two in that number. A sequence whose length is a
-  power of two needs no padding, so a block has none;
+* the block's token total fixes the sequences: as many of ``capacity`` tokens as it fills. What they have no room
+  for goes on to the next block; the last block of a partition makes one sequence for each power of two in the number of
+  tokens that remain. A sequence whose length is a power of two needs no padding, so there is none;
 * the other pieces go, in descending order of length, each to the lowest-cost sequence that has room
   for it. A piece's cost is ``linear * n + quadratic * n**2`` (attention within the piece). If no
   sequence has room, the piece is cut at the sequence with most room.
@@ -14,8 +14,8 @@ no shuffle is needed and memory does not grow with the input. In a block:
 Given the same rows in the same partition, a rerun packs alike; the input should be a stored table
 or another plan with a fixed row order, as ids of sequences hold the partition's number.
 
-Defined results: null text is an empty document (one piece that holds only the end id); rows that
-repeat are packed each on their own; a null ``doc_id`` stays null; an empty table gives no rows;
+Defined results: null text is an empty document (one piece that holds only the end id); a very long text is cut over many
+sequences; rows that repeat are packed each on their own; ties in length go by place, ties in cost to the first sequence; a null ``doc_id`` stays null; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -40,9 +40,16 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
 
     All sequences come out full; sequences are numbered from 0.
     """
+    return assign_block(lengths, capacity, linear, quadratic, True)[0]
+
+
+def assign_block(lengths: np.ndarray, capacity: int, linear: float, quadratic: float, last: bool) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
+    """The pieces of one block. Unless this block is the ``last`` one, only whole
+    sequences are made, and the ends of documents that they have no room for are returned as (document, start).
+    """
     pieces: list[tuple[int, int, int, int, int]] = []
     order = np.argsort(-lengths, kind="stable")
-    n_full, rest = 0, []
+    n_full, rest, later = 0, [], []
     for d in order:
         n, at = int(lengths[d]), 0
         while n - at > capacity:
@@ -53,10 +60,13 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
             rest.append((n - at, int(d), at))
     rest.sort(key=lambda x: (-x[0], x[1], x[2]))
     left = sum(x[0] for x in rest)
-    sizes = [capacity] * (left // capacity) + [1 << k for k in range(capacity.bit_length(), -1, -1) if (left % capacity) >> k & 1]
+    sizes = [capacity] * (left // capacity)
+    if last:
+        sizes += [1 << k for k in range(capacity.bit_length(), -1, -1) if (left % capacity) >> k & 1]
     room, cost, used = np.array(sizes, dtype=np.int64), np.zeros(len(sizes)), np.zeros(len(sizes), dtype=np.int64)
+    free = int(room.sum())
     for n, d, at in rest:
-        while n:
+        while n and free:
             fits = np.flatnonzero(room >= n)
             s = int(fits[np.argmin(cost[fits])]) if len(fits) else int(np.argmax(room))
             k = min(n, int(room[s]))
@@ -64,9 +74,12 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
             cost[s] += linear * k + quadratic * k * k
             room[s] -= k
             used[s] += k
+            free -= k
             at += k
             n -= k
-    return pieces
+        if n:
+            later.append((d, at))
+    return pieces, later
 
 
 def pack(
@@ -77,7 +90,7 @@ def pack(
     capacity: int = 2048,
     linear: float = 1.0,
     quadratic: float = 1.0 / 1024,
-    block_tokens: int = 4 << 20,
+    block_tokens: int = 2 << 20,
     with_ids: bool = False,
 ) -> DataFrame:
     """Pieces of all documents of ``docs`` (doc_id, text), packed into sequences.
@@ -94,42 +107,42 @@ def pack(
         from pyspark import TaskContext
 
         encoder, base, done = worker_encoder(definition.value), TaskContext.get().partitionId() << 32, 0
-        ids, blocks, tokens = [], [], 0
-
-        def packed() -> pa.RecordBatch:
-            nonlocal done
-            doc_ids = [x for some in ids for x in some]
-            streams = [x for some in blocks for x in some]
-            got = assign(np.array([len(x) // 4 for x in streams], dtype=np.int64), capacity, linear, quadratic)
-            held = [streams[d][4 * at : 4 * (at + n)] for d, at, n, _, _ in got]
+        waiting: list[tuple[int | None, bytes, int]] = []  # doc_id, ids, first id not packed yet
+        tokens = 0
+
+        def packed(last: bool) -> pa.RecordBatch:
+            nonlocal done, waiting, tokens
+            got, later = assign_block(np.array([len(x) // 4 - first for _, x, first in waiting], dtype=np.int64), capacity, linear, quadratic, last)
+            got = [(*waiting[d], at, n, s, offset) for d, at, n, s, offset in got]
+            held = [x[4 * (first + at) : 4 * (first + at + n)] for _, x, first, at, n, _, _ in got]
             columns = [
-                pa.array([doc_ids[x[0]] for x in got], pa.int64()),
-                pa.array([x[1] for x in got], pa.int64()),
-                pa.array([x[2] for x in got], pa.int64()),
-                pa.array([zlib.crc32(x) for x in held], pa.int64()),
-                pa.array([len(streams[x[0]]) // 4 for x in got], pa.int64()),
-                pa.array([base + done + x[3] for x in got], pa.int64()),
+                pa.array([x[0] for x in got], pa.int64()),
+                pa.array([x[2] + x[3] for x in got], pa.int64()),
                 pa.array([x[4] for x in got], pa.int64()),
+                pa.array([zlib.crc32(x) for x in held], pa.int64()),
+                pa.array([len(x[1]) // 4 for x in got], pa.int64()),
+                pa.array([base + done + x[5] for x in got], pa.int64()),
+                pa.array([x[6] for x in got], pa.int64()),
             ]
             names = [x.split()[0] for x in PIECES.split(", ")]
             if with_ids:
                 columns.append(pa.array(held, pa.binary()))
                 names.append("ids")
-            done += max((x[3] for x in got), default=-1) + 1
+            done += max((x[5] for x in got), default=-1) + 1
+            waiting = [(waiting[d][0], waiting[d][1], waiting[d][2] + at) for d, at in later]
+            tokens = sum(len(x) // 4 - first for _, x, first in waiting)
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 encoded = [x + end for x in encoder.encode_batch([x or "" for x in part.column(1).to_pylist()])]
-                ids.append(part.column(0).to_pylist())
-                blocks.append(encoded)
+                waiting += [(d, x, 0) for d, x in zip(part.column(0).to_pylist(), encoded, strict=True)]
                 tokens += sum(map(len, encoded)) // 4
                 if tokens >= block_tokens:
-                    yield packed()
-                    ids, blocks, tokens = [], [], 0
-        if ids:
-            yield packed()
+                    yield packed(False)
+        if waiting:
+            yield packed(True)
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     return map_arrow(rows, run, PIECES_WITH_IDS if with_ids else PIECES)

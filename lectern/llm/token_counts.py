@@ -13,7 +13,7 @@ crosses from one blank-separated word into the next: words are counted one by on
 remembers the counts of words it has seen. With a vocabulary for which this does not hold, texts are
 counted whole.
 
-Defined results: null or empty text has 0 tokens; rows that repeat are counted each on their own; a
+Defined results: null or empty text has 0 tokens; a very long text is counted whole, and a very long word is not remembered; rows that repeat are counted each on their own; a
 null ``doc_id`` stays null; an empty table gives no rows; other columns are ignored.
 """
 
@@ -26,7 +26,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.workers import map_arrow
+from lectern.llm.workers import Remembered, map_arrow, own
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -58,7 +58,7 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", piece) for piece, _ in vocabulary)
-        self.cache_words, self.cache = cache_words, {}
+        self.remembered = Remembered(self.count_marked, cache_words)
 
     def count_marked(self, text: str) -> int:
         """Tokens of a text in which marks stand for blanks."""
@@ -85,26 +85,19 @@ class Counter:
             return 0
         if not self.by_word:
             return self.count_marked(MARK + text.replace(" ", MARK))
-        words, cache = text.split(" "), self.cache
+        words = text.split(" ")
         if "" in words or MARK in text:  # a run of marks belongs to the word after it
             marked = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK))
         else:
             marked = [MARK + x for x in words]
-        if len(cache) > self.cache_words:
-            cache.clear()
-        total = 0
-        for x in marked:
-            n = cache.get(x)
-            if n is None:
-                n = cache[x] = self.count_marked(x)
-            total += n
-        return total
+        return sum(map(self.remembered.__getitem__, marked))
 
 
 _counters: dict[int, Counter] = {}
 
 
 def _worker_counter(key: int, vocabulary: list[tuple[str, float]]) -> Counter:
+    own("counts", _counters.clear)
     if key not in _counters:
         _counters.clear()
         _counters[key] = Counter(vocabulary)

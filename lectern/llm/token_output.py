@@ -16,7 +16,7 @@ a scan of that column only), and each shard becomes one file, or more if it is l
 folder that the executors share, each under a temporary name first, so a rerun task replaces its own.
 
 Defined results: null text is an empty document; rows that repeat a ``doc_id`` follow each other in the
-order of their ids' bytes; null ``doc_id`` comes first; an empty table gives no file and no rows; other columns
+order of their ids' bytes; null ``doc_id`` comes first; a very long text is one document of one file; an empty table gives no file and no rows; other columns
 are ignored.
 """
 
@@ -34,8 +34,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.tokenization import forget, read_definition, worker_encoder
-from lectern.llm.workers import map_arrow
+from lectern.llm.tokenization import read_definition, worker_encoder
+from lectern.llm.workers import map_arrow, own
 from lectern.session import work_dir
 
 MAGIC = b"LDAC1\0"
@@ -166,18 +166,19 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int, doc
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 ids = [x + end for x in encoder.encode_batch([x or "" for x in part.column(1).to_pylist()])]
-                numbers = part.column(0).to_pylist()
-                shards = [0 if x is None else int(np.searchsorted(bounds, x, side="left")) for x in numbers]
-                arrays = [np.frombuffer(x, "<u4") for x in ids]
-                wide = any(x.max() > 0xFFFF for x in arrays)
-                if not wide:
-                    ids = [x.astype("<u2").tobytes() for x in arrays]
-                columns = [pa.array(shards, pa.int32()), part.column(0), pa.array([wide] * len(ids), pa.bool_()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "wide", "ids"])
+                numbers = part.column(0).to_numpy(zero_copy_only=False)
+                null = part.column(0).is_null().to_numpy(zero_copy_only=False)
+                shards = np.where(null, 0, np.searchsorted(bounds, np.where(null, 0, numbers).astype(np.int64), side="left")).astype(np.int32)
+                values = np.frombuffer(b"".join(ids), "<u4")
+                wide = bool(values.max() > 0xFFFF)
+                kind = "<u4" if wide else "<u2"
+                offsets = np.cumsum([0, *map(len, ids)]) // 4 * np.dtype(kind).itemsize
+                held = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.astype(kind))])
+                yield pa.RecordBatch.from_arrays([pa.array(shards), part.column(0), pa.array([wide] * len(ids), pa.bool_()), held], ["shard", "doc_id", "wide", "ids"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, part, numbers, held, size = None, 0, [], [], 0
-        forget()
+        own("files", lambda: None)
 
         def put() -> pa.RecordBatch:
             lengths = np.array([len(x) for x in held], dtype=np.int64)
@@ -199,7 +200,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int, doc
             yield put()
 
     encoded = map_arrow(rows, encode, "shard int, doc_id long, wide boolean, ids binary")
-    sorted_rows = encoded.repartition(min(len(bounds) + 1, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    sorted_rows = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     map_arrow(sorted_rows, save, _MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
@@ -223,7 +224,8 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 columns = [pa.array(numbers, pa.int64()), pa.array(starts[:-1] + base, pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _DOCUMENTS.split(", ")])
 
-    return map_arrow(placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), load, _DOCUMENTS)
+    files = manifest.count()
+    return map_arrow(placed.repartition(max(1, min(files, MAX_SHARDS))), load, _DOCUMENTS)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, *, end_id: int, docs_per_shard: int = 8192) -> DataFrame:

@@ -1,8 +1,8 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a cache of encoded words.
 
 The library encodes about one megabyte a second and core. Most words of a corpus repeat, so a
-text is cut at blanks where no token can cross, the library encodes each distinct cut once per
-worker, and a text's ids are the joined ids of its cuts. The cuts are chosen so that the result
+text is cut at blanks where no token can cross, the library encodes a cut when a worker meets it first
+(long ones each time), and a text's ids are the joined ids of its cuts. The cuts are chosen so that the result
 equals the library's ids for the whole text:
 
 * ``byte level``: no token holds a blank after a non-blank, and the look-ahead in the pattern only
@@ -17,7 +17,9 @@ import os
 from array import array
 from pathlib import Path
 
-#: Words a worker remembers; beyond, it forgets all and starts again.
+from lectern.llm.workers import Remembered, own
+
+#: Short words a worker remembers; beyond, it forgets all and starts again.
 CACHE_WORDS = 400_000
 #: Tokenizer definitions are a few megabytes; a larger file is refused rather than sent to executors.
 MAX_DEFINITION_BYTES = 64 << 20
@@ -66,8 +68,8 @@ class WordEncoder:
         self.table = _byte_characters()
         normalizer = self.tokenizer.normalizer
         self.normalize = normalizer.normalize_str if normalizer else str
-        self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
+        self.parts = Remembered(self._part, cache_words)
+        self.first, self.lowers = chr(self.table[0x20]) if self.lead else "", self.normalize("A") == "a"
         self.marks = {x: self._library([x])[0] for x in _MARKS}
         probes = ["a", "Word", "ABC", "hello", "naïve", "ÜBER", "straße", "aaaaaaaaaaaaaaaaaaaaaaaa", "ª", "Qxz"]
         self.direct = [self._word(self.lead + x) + self.marks[m] for x in probes for m in _MARKS] == self._library([f"{self.lead}{x}{m}" for x in probes for m in _MARKS])
@@ -101,38 +103,23 @@ class WordEncoder:
                 out[-1] = f"{left} {x}"
         return out[0], out[1:]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Put the ids of new parts, which follow a blank, into the cache."""
-        cache, lead, marks, others, tokenize = self.cache, self.lead, self.marks, [], self.model.tokenize
-        first = chr(self.table[0x20]) if lead else ""
-        lowers = self.normalize("A") == "a"
-        for part in parts:
-            mark = marks.get(part[-1])
-            word = part if mark is None else part[:-1]
-            if not (self.direct and word.isalpha() and (word.isascii() or max(word) <= "\u00ff")):
-                others.append(part)
-                continue
-            ids = cache.get(word) if mark is not None else None
-            if ids is None:
-                if word.isascii():  # letters stand for themselves in the byte alphabet
-                    ids = array("I", [t.id for t in tokenize(first + (word.lower() if lowers else word))]).tobytes()
-                else:
-                    ids = self._word(lead + word)
-                cache[word] = ids
-            if mark is not None:
-                cache[part] = ids + mark
-        cache.update(zip(others, self._library([lead + x for x in others]), strict=True))
+    def _part(self, part: str) -> bytes:
+        """Ids of a part that follows a blank."""
+        mark = self.marks.get(part[-1])
+        word = part if mark is None else part[:-1]
+        if not (self.direct and word.isalpha() and (word.isascii() or max(word) <= "\u00ff")):
+            return self._library([self.lead + part])[0]
+        if mark is not None:
+            return self.parts[word] + mark
+        if not word.isascii():
+            return self._word(self.lead + word)
+        # letters stand for themselves in the byte alphabet
+        return array("I", [t.id for t in self.model.tokenize(self.first + (word.lower() if self.lowers else word))]).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        cuts = [self.cut(x) for x in texts]
-        wanted: set[str] = set()
-        for _, rest in cuts:
-            wanted.update(rest)
-        self._learn(list(wanted.difference(self.cache)))
-        heads, get = self._library([x for x, _ in cuts]), self.cache.__getitem__
+        cuts, get = [self.cut(x) for x in texts], self.parts.__getitem__
+        heads = self._library([x for x, _ in cuts])
         return [head + b"".join(map(get, rest)) for head, (_, rest) in zip(heads, cuts, strict=True)]
 
 
@@ -141,13 +128,9 @@ _encoders: dict[int, WordEncoder] = {}
 
 def worker_encoder(definition: str) -> WordEncoder:
     """One encoder per worker process and definition; a reused worker keeps its cache."""
+    own("tokens", _encoders.clear)
     key = hash(definition)
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = WordEncoder(definition)
     return _encoders[key]
-
-
-def forget() -> None:
-    """Drop this worker's encoder; for tasks that follow on the same worker and need the memory."""
-    _encoders.clear()
