@@ -11,27 +11,34 @@ one window). For each pattern length there is one table set, over blocks of ``BL
 Words are found on the UTF-8 bytes: every byte of a non-ASCII character is 0x80 or more, so a byte
 table maps A-Z to lower case, all other ASCII but digits and letters to blanks, and keeps the rest.
 
-The benchmark goes to the executors in blocks of at most ``block_bytes`` of text; one block is one
-narrow pass over the documents, which adds its findings to the row. No shuffle at any size.
+The benchmark is searched in blocks of at most ``block_bytes`` of text and ``BLOCK_WORDS`` words. Words are numbered, so that a block's
+tables are arrays of numbers and one dictionary of packed word numbers, some 150 bytes a word. One block at a time is on the
+driver and the executors: its pass over the documents is stored before the next one starts, and adds its findings
+to the row. A benchmark of one block, the usual case, is one narrow pass without a table. No shuffle at any size.
 
 Defined results: null text has no words; null or wordless items have no windows; items that repeat an
-``item_id`` count as one item; rows that repeat are judged each on their own; a null ``doc_id`` stays
-null; with an empty benchmark no word is hit; other columns are ignored.
+``item_id`` count as one item; windows that several items hold count for each of them; rows that repeat are judged each on
+their own; a very long text is searched whole; a null ``doc_id`` stays null; with an empty benchmark no word is hit; an empty
+table gives no rows; other columns are ignored (or kept by ``keep``, whatever their names).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.workers import blobs, map_arrow
+from lectern.session import discard, materialize
 
 BLOCK = 3
+#: Words in a block of the benchmark; word numbers fit 21 bits.
+BLOCK_WORDS = 1 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _FOUND = "doc_id long, text string, hits array<int>, items array<string>"
 
@@ -46,65 +53,95 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Occurrences of word patterns; each pattern carries the ids of the items that hold it."""
+    """Occurrences of word patterns; each pattern carries the items that hold it."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        patterns: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in items:
+        self.numbers: dict[bytes, int] = {}
+        ids, sizes = array("i"), []
+        for _, text in items:
             words = words_of(text)
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                patterns[tuple(words[i : i + n])].add(item)
+            ids.extend(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words)  # 0 is every other word
+            sizes.append(len(words))
+        if len(self.numbers) >= 1 << 21:
+            raise ValueError("a block of the benchmark has too many words")
+        flat, sizes = np.frombuffer(ids, dtype=np.int32) if ids else np.zeros(0, np.int32), np.array(sizes, dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+        self.names = [name for name, _ in items]
         self.tables = []
-        by_length: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
-        for p in patterns:
-            by_length[len(p)].append(p)
-        for m, group in sorted(by_length.items()):
-            b = min(BLOCK, m)
-            shift: dict[tuple[bytes, ...], int] = {}
-            suffixes: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list[str]]] = defaultdict(dict)
-            for p in group:
-                for end in range(b, m + 1):
-                    block = p[end - b : end]
-                    shift[block] = min(shift.get(block, m - b + 1), m - end)
-                suffixes[p[m - b :]][p] = sorted(patterns[p])
-            self.tables.append((m, b, shift, dict(suffixes)))
+        lengths = np.minimum(sizes, window)
+        for m in sorted({*lengths.tolist()} - {0}):
+            some = np.flatnonzero(lengths == m)
+            starts = np.concatenate([np.arange(first[i], first[i] + sizes[i] - m + 1) for i in some])
+            owner = np.repeat(some, sizes[some] - m + 1)
+            windows, which = np.unique(flat[starts[:, None] + np.arange(m)], axis=0, return_inverse=True)
+            self.tables.append(self._table(m, windows, which.ravel(), owner))
+
+    @staticmethod
+    def _packed(block: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(block), dtype=np.int64)
+        for column in block.T:
+            out = out << 21 | column
+        return out
+
+    def _table(self, m: int, windows: np.ndarray, which: np.ndarray, owner: np.ndarray):
+        """Length, block, steps by block, words of all patterns, patterns by suffix bucket, and items by pattern."""
+        b = min(BLOCK, m)
+        keys = np.concatenate([self._packed(windows[:, end - b : end]) for end in range(b, m + 1)])
+        shifts = np.repeat(np.arange(m - b, -1, -1), len(windows))
+        order = np.lexsort((shifts, keys))
+        keys, shifts = keys[order], shifts[order]
+        least = np.concatenate([[True], keys[1:] != keys[:-1]])
+        steps = dict(zip(keys[least].tolist(), shifts[least].tolist(), strict=True))
+        suffix = self._packed(windows[:, m - b :])
+        order = np.argsort(suffix, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], suffix[order][1:] != suffix[order][:-1]]))
+        for k, key in enumerate(suffix[order][cuts].tolist()):
+            steps[key] = -1 - k  # a bucket
+        by_pattern = np.lexsort((owner, which))
+        holders = np.searchsorted(which[by_pattern], np.arange(len(windows) + 1))
+        return m, b, steps, array("i", windows[order].tobytes()), [*cuts.tolist(), len(windows)], order.tolist(), owner[by_pattern].tolist(), holders.tolist()
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """(first word, number of words) of every occurrence, and the items found."""
         found: list[tuple[int, int]] = []
         items: set[str] = set()
-        total = len(words)
-        for m, b, shift, suffixes in self.tables:
-            far, get, end = m - b + 1, shift.get, m
+        get = self.numbers.get
+        ids = array("i", [get(w, 0) for w in words])
+        total = len(ids)
+        for m, b, steps, flat, cuts, patterns, owner, holders in self.tables:
+            far, step_of, end = m - b + 1, steps.get, m
             while end <= total:
-                block = tuple(words[end - b : end])
-                step = get(block, far)
-                if step == 0:
-                    held = suffixes.get(block)
-                    if held is not None:
-                        here = tuple(words[end - m : end])
-                        if here in held:
-                            found.append((end - m, m))
-                            items.update(held[here])
+                block = 0
+                for x in ids[end - b : end]:
+                    block = block << 21 | x
+                step = step_of(block, far)
+                if step <= 0:
+                    if step < 0:
+                        here = ids[end - m : end]
+                        for k in range(cuts[-1 - step], cuts[-step]):
+                            if flat[k * m : (k + 1) * m] == here:
+                                found.append((end - m, m))
+                                p = patterns[k]
+                                items.update(self.names[i] for i in owner[holders[p] : holders[p + 1]])
+                                break  # patterns differ
                     step = 1
                 end += step
         return found, items
 
 
 def _chunks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of bounded size; only one block is on the driver at a time."""
-    chunk, size = [], 0
+    """The benchmark in blocks of bounded size; the driver holds one and the next. An item over the bound is a block of its own."""
+    chunk, size, words = [], 0, 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("body"))
     for r in rows.where("item is not null and body is not null").toLocalIterator():
         body = r["body"].encode()
-        if chunk and size + len(body) > block_bytes:
+        n = len(words_of(body))
+        if chunk and (size + len(body) > block_bytes or words + n > BLOCK_WORDS):
             yield chunk
-            chunk, size = [], 0
+            chunk, size, words = [], 0, 0
         chunk.append((r["item"], body))
-        size += len(body)
-    if chunk:
-        yield chunk
+        size, words = size + len(body), words + n
+    yield chunk
 
 
 def _merged(hits: list[int]) -> list[int]:
@@ -125,13 +162,11 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes
     items (ids as strings, sorted). With ``digest`` the last pass returns the columns of ``judge``.
     """
     spark = docs.sparkSession
-    searchers = [spark.sparkContext.broadcast(WuManber(x, window)) for x in _chunks(benchmark, block_bytes)] or [None]
     out = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text", "cast(array() as array<int>) as hits", "cast(array() as array<string>) as items")
-    for k, searcher in enumerate(searchers):
-        last = digest and k == len(searchers) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], searcher=searcher, last=last) -> Iterator[pa.RecordBatch]:
-            look = searcher.value.search if searcher is not None else lambda words: ([], set())
+    def passed(searcher, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            look = searcher.value.search
             for batch in batches:
                 hits, items, n_words = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
                 for i, text in enumerate(blobs(batch.column(1))):
@@ -156,8 +191,30 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes
                     columns = [batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "hits", "items"])
 
-        out = map_arrow(out, run, RESULT if last else _FOUND)
-    return out
+        return run
+
+    def each(out: DataFrame, searcher, final: bool) -> DataFrame:
+        last = digest and final
+        return map_arrow(out, passed(searcher, last), RESULT if last else _FOUND)
+
+    return _by_blocks(spark, out, benchmark, window, block_bytes, each)
+
+
+def _by_blocks(spark, out: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, each) -> DataFrame:
+    """``each`` pass over ``out`` with one block's searcher; all but the last pass are stored, and their searchers dropped."""
+    chunks, stored = _chunks(benchmark, block_bytes), None
+    chunk = next(chunks)
+    while True:
+        after = next(chunks, None)
+        searcher = spark.sparkContext.broadcast(WuManber(chunk, window))
+        out = each(out, searcher, after is None)
+        if after is None:
+            return out
+        out = materialize(out, "searched")
+        searcher.unpersist()
+        if stored is not None:
+            discard(stored)
+        stored, chunk = out, after
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
@@ -170,18 +227,18 @@ def judge(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_byte
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of ``docs`` whose text holds no window of ``benchmark``, with all their columns; one narrow pass a block."""
-    spark, place, out = docs.sparkSession, docs.columns.index("text"), docs
-    for chunk in _chunks(benchmark, block_bytes):
-        searcher = spark.sparkContext.broadcast(WuManber(chunk, window))
+    """The rows of ``docs`` whose text holds no window of ``benchmark``, with all their columns."""
+    place = docs.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], searcher=searcher) -> Iterator[pa.RecordBatch]:
+    def each(out: DataFrame, searcher, final: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look = searcher.value.search
             for batch in batches:
                 yield batch.filter(pa.array([not look(words_of(x))[0] for x in blobs(batch.column(place))], pa.bool_()))
 
-        out = map_arrow(out, run, docs.schema)
-    return out
+        return map_arrow(out, run, docs.schema)
+
+    return _by_blocks(docs.sparkSession, docs, benchmark, window, block_bytes, each)
 
 
 def oracle_sql(window: int = 10) -> str:
