@@ -46,7 +46,7 @@ LARGE = 64
 STAR = 3
 #: Sets that share a key beyond which they are cut to parts, and the number of parts.
 SMALL, CENTRES = 32, 8
-#: Words that stand more often have long lists.
+#: Lists are long from here, or from half the square root of the number of sets.
 LONG = 64
 #: Parts of the inverted lists that are joined one after another.
 PASSES = 3
@@ -150,10 +150,10 @@ def _neighbours(sets: DataFrame) -> DataFrame:
     return sets.where("n > 1 and size(prefix) > 1").select("h1", "n", "bits", "more", F.col("first.doc_id").alias("doc_id"), F.explode(two).alias("key"))
 
 
-def _common(sets: DataFrame) -> DataFrame:
-    """Open sets by the words of their prefix that the corpus holds more than ``LONG`` times."""
+def _common(sets: DataFrame, long: int) -> DataFrame:
+    """Open sets by the words of their prefix that the corpus holds more than ``long`` times."""
     rows = sets.where("n > 1 and open").select("h1", "n", "bits", "more", F.col("first.doc_id").alias("doc_id"), F.explode("prefix").alias("key"))
-    return rows.where(F.shiftright("key", 48) > _rank(F.lit(float(LONG))))
+    return rows.where(F.shiftright("key", 48) > _rank(F.lit(float(long))))
 
 
 def _stars(rows: DataFrame, fewest: int, s: Settings) -> DataFrame:
@@ -245,7 +245,8 @@ def _removed(docs: DataFrame, s: Settings) -> DataFrame:
 
     near = _stars(_neighbours(sets), 2, s)
     gone = [proved(near)]
-    star = _stars(_common(marked(*gone)), LONG, s)
+    long = max(LONG, int(sets.count() ** 0.5 / 2))  # shorter lists make at most that many pairs a set
+    star = _stars(_common(marked(*gone), long), long, s)
     star = materialize(star.join(near, ["a", "b"], "left_anti"), "stars")
     gone.append(proved(star))
     now = marked(*gone)
