@@ -18,8 +18,8 @@ def label_reason(text: Column, confidence: Column, quality: Column, reasons: Col
     t = trim_space(text)
     return (
         F.when(~F.length(t).between(2, 60), "length").when(~t.rlike(HAS_LETTER_OR_DIGIT), "no_alphanumeric")
-        .when(confidence < least_confidence, "confidence").when(quality < least_quality, "quality")
-        .when(F.size(reasons) > 0, "review_reasons").when((box.width < 8) | (box.height < 6), "box_size").otherwise("accepted")
+        .when(confidence < least_confidence, "confidence").when(quality < least_quality, "language_quality")
+        .when(F.size(reasons) > 0, "review_reason").when((box.width < 8) | (box.height < 6), "tiny_box").otherwise("accepted")
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import strip_space
+from lectern.functions.text import critical_tokens, nfc, nfkc, strip_space
 from lectern.operators.cumulative import running_sums
+from lectern.session import ship_package
 
 
 def over(up: Column, down: Column) -> Column:
@@ -15,19 +16,43 @@ def over(up: Column, down: Column) -> Column:
 
 
 def corpus_cer(df: DataFrame, reference: str, prediction: str) -> DataFrame:
-    """Edit errors over the sum of the longer lengths; white space counts; texts are expected in form C."""
-    a, b = F.col(reference), F.col(prediction)
+    """Edit errors over the sum of the longer lengths, in Unicode form C; white space counts."""
+    ship_package(df.sparkSession)
+    a, b = nfc(F.col(reference)), nfc(F.col(prediction))
     sums = df.agg(F.sum(F.levenshtein(a, b)).alias("errors"), F.sum(F.greatest(F.length(a), F.length(b))).alias("characters"))
     return sums.select("errors", "characters", over(F.col("errors"), F.col("characters")).alias("cer"))
 
 
 def benchmark_cer(df: DataFrame, reference: str, prediction: str) -> DataFrame:
-    """Edit errors over the reference's length, all white space removed; may exceed 1; texts are expected in form KC."""
-    a, b = strip_space(reference), strip_space(prediction)
+    """Edit errors over the reference's length, in form KC, all white space removed; may exceed 1."""
+    ship_package(df.sparkSession)
+    a, b = strip_space(nfkc(F.col(reference))), strip_space(nfkc(F.col(prediction)))
     sums = df.agg(F.sum(F.levenshtein(a, b)).alias("errors"), F.sum(F.length(a)).alias("characters"))
     return sums.select("errors", "characters", (F.col("errors") / F.greatest(F.lit(1), F.col("characters"))).alias("cer"))
 
 
+def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays: one row of the table is kept, as a fold over the other array."""
+    zero = F.transform(F.concat(F.array(F.lit("")), b), lambda x, i: i)
+
+    def row(before: Column, x: Column) -> Column:
+        first = F.array(F.get(before, F.lit(0)) + 1)
+        step = lambda r, i: F.concat(
+            r, F.array(F.least(F.element_at(r, -1) + 1, F.get(before, i + 1) + 1, F.get(before, i) + F.when(F.get(b, i) == x, 0).otherwise(1)))
+        )
+        return F.when(F.size(b) > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0))), first, step)).otherwise(first)
+
+    return F.element_at(F.aggregate(a, zero, row), -1)
+
+
+def critical_token_error(df: DataFrame, reference: str, prediction: str) -> DataFrame:
+    """Edit errors of typed-token sequences over the sum of the longer lengths, in form C; null without a token on either side."""
+    ship_package(df.sparkSession)
+    rows = df.select(critical_tokens(nfc(F.col(reference))).alias("a"), critical_tokens(nfc(F.col(prediction))).alias("b"))
+    sums = rows.agg(F.sum(token_distance(F.col("a"), F.col("b"))).cast("long").alias("errors"), F.sum(F.greatest(F.size("a"), F.size("b"))).alias("tokens"))
+    return sums.select("errors", "tokens", over(F.col("errors"), F.col("tokens")).alias("error_rate"))
+
+
 def recognizer_metrics(df: DataFrame, reference: str, prediction: str) -> DataFrame:
     """Lines, exact lines and their share, character errors and rate."""
     a, b = F.col(reference), F.col(prediction)

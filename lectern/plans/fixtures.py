@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.hashing import split_by_content, unit_score
+from lectern.session import ship_package
 
 NAMESPACE = "lectern-corpus:"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)  # some text functions run in Python workers
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -121,14 +123,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.where("length(line) > 0")
 
 
-#: ASCII lines of at most 400 characters, and the same without the letter e: a noisy reading.
-NOISY_SQL = LINES_SQL + ", noisy AS (SELECT doc_id, pos, line AS ref, replace(line, 'e', '') AS pred FROM lines WHERE length(line) <= 400 AND NOT regexp_matches(line, '[^\\x00-\\x7F]'))"
-
-
-def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return noisy_whole(spark, sf_dir).where((F.length("ref") <= 400) & ~F.col("ref").rlike(r"[^\x00-\x7F]"))
-
-
 def noisy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line, and the same without the letter e."""
     return lines(spark, sf_dir).select("doc_id", "pos", F.col("line").alias("ref"), F.replace("line", F.lit("e"), F.lit("")).alias("pred"))

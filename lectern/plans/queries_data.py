@@ -184,8 +184,9 @@ wanted AS (SELECT DISTINCT query_id, lower(unnest(regexp_extract_all(query, '([0
 fields AS (SELECT DISTINCT id, 8 AS w, lower(unnest(regexp_extract_all(array_to_string(tags, ' '), '([0-9A-Za-z가-힣]+)', 1))) AS token FROM chunks UNION ALL SELECT DISTINCT id, 4, lower(unnest(regexp_extract_all(title, '([0-9A-Za-z가-힣]+)', 1))) FROM chunks
   UNION ALL SELECT DISTINCT id, 3, lower(unnest(regexp_extract_all(section, '([0-9A-Za-z가-힣]+)', 1))) FROM chunks UNION ALL SELECT DISTINCT id, 1, lower(unnest(regexp_extract_all(text, '([0-9A-Za-z가-힣]+)', 1))) FROM chunks),
 met AS (SELECT query_id, id, sum(w) AS s FROM wanted JOIN fields USING (token) GROUP BY query_id, id),
-phrased AS (SELECT *, trim(regexp_replace(lower(query), '\\s+', ' ', 'g')) AS phrase FROM q),
-scores AS (SELECT met.query_id, met.id, CAST(s + CASE WHEN contains(lower(title), phrase) THEN 3 ELSE 0 END + CASE WHEN contains(lower(section), phrase) THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), phrase) THEN 1 ELSE 0 END AS BIGINT) AS score FROM met JOIN phrased USING (query_id) JOIN chunks USING (id))"""
+phrased AS (SELECT *, trim(regexp_replace(lower(query), '\\s+', ' ', 'g')) AS phrase FROM q WHERE query_id IN (SELECT query_id FROM wanted)),
+held AS (SELECT query_id, id, CASE WHEN contains(lower(title), phrase) THEN 3 ELSE 0 END + CASE WHEN contains(lower(section), phrase) THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), phrase) THEN 1 ELSE 0 END AS s FROM phrased, chunks WHERE phrase <> ''),
+scores AS (SELECT query_id, id, CAST(sum(s) AS BIGINT) AS score FROM (SELECT * FROM met UNION ALL SELECT * FROM held WHERE s > 0) GROUP BY query_id, id)"""
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,9 +220,12 @@ def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def split_lines_55(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training lines, each text kept once: at the first document and place that has it."""
+    """Training lines, each text kept once: at the first document and place that has it; places count the kept lines of a document."""
+    from pyspark.sql import Window
+
     cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.training_lines("text")).alias("pos", "line"))
-    return cut.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("f")).select("f.doc_id", "f.pos", "line")
+    kept = cut.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("f")).select("f.doc_id", "f.pos", "line")
+    return kept.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).cast("int"))  # a document's lines
 
 
 @query("WITH k AS (SELECT page_id, regexp_extract(url, '([^/?#]*)$', 1) AS x FROM pages), n AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'target' ELSE 'source' END AS side, lower(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '[^0-9A-Za-z가-힣]', '', 'g')) AS key, length(html) AS n FROM pages) SELECT a.key, a.page_id AS source_id, b.page_id AS target_id, b.n < greatest(1, a.n // 2000) * 180 AS sparse FROM n a JOIN n b ON a.key = b.key AND a.side = 'source' AND b.side = 'target'")

@@ -143,7 +143,8 @@ def visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def regular_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped.regular_runs(fx.blocks(spark, sf_dir), "page", "y0")
+    rows = fx.blocks(spark, sf_dir).select("page", ((F.col("y0") + F.col("y1")) / 2).alias("centre"), (F.col("y1") - F.col("y0")).alias("height"))
+    return grouped.regular_runs(rows, "page", "centre", "height")
 
 
 @query()
