@@ -90,7 +90,7 @@ class WordEncoder:
     def cut(self, text: str) -> tuple[str, list[str]]:
         """The first part, and the others without the blank before them."""
         if self.drops_blanks:
-            return "", [x for x in text.replace("\n", " ").split(" ") if x]
+            return "", text.replace("\n", " ").split(" ")  # empty parts have no ids
         words = text.split(" ")
         if text.replace("\n", "").isprintable() and not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "):
             return words[0], words[1:]
@@ -105,6 +105,8 @@ class WordEncoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of a part that follows a blank."""
+        if not part:
+            return b""
         mark = self.marks.get(part[-1])
         word = part if mark is None else part[:-1]
         if not (self.direct and word.isalpha() and (word.isascii() or max(word) <= "\u00ff")):
@@ -119,7 +121,7 @@ class WordEncoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
         cuts, get = [self.cut(x) for x in texts], self.parts.__getitem__
-        heads = self._library([x for x, _ in cuts])
+        heads = [b""] * len(cuts) if self.drops_blanks else self._library([x for x, _ in cuts])
         return [head + b"".join(map(get, rest)) for head, (_, rest) in zip(heads, cuts, strict=True)]
 
 
