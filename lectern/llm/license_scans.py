@@ -119,13 +119,17 @@ def _bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * ratio - 1e-9), int(size / ratio + 1e-9)
 
 
+#: Words of any text, which prune nothing; needed only where no others cover a template.
+COMMON = frozenset("a an and any as at be by for from in is it no not of on or that the this to under use was with".split())
+
+
 def needed_words(templates: dict[str, str], threshold: float) -> list[str]:
     """Words one of which stands in every match: of each template, its longest words until the others cover too few bigrams."""
     found: dict[str, None] = {}
     for text in templates.values():
         left = bigrams_of(text)
         fewest = _bounds(len(left), threshold)[0]
-        for word in sorted({*words_of(text)}, key=lambda x: (x not in found, -len(x), x)):
+        for word in sorted({*words_of(text)}, key=lambda x: (x in COMMON, x not in found, -len(x), x)):
             if len(left) < fewest or not left:
                 break
             found[word] = None
@@ -170,7 +174,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     listed = [(k, n, words_of(t), bigrams_of(t)) for k, (n, t) in enumerate(templates.items()) if len(words_of(t)) > 1]
     none = F.array().cast("array<struct<dice:double,k:int,id:string>>")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    needed = "|".join(map(re.escape, needed_words(templates, threshold)))
+    needed = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, needed_words(templates, threshold)))})(?![\p{{L}}\p{{N}}])"
     grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
     cut = let(F.split(_normalised(text), " "), lambda w: F.when(F.size(w) > 1, let(grams(w), lambda g: _matches(w, g, listed, threshold))).otherwise(none))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.when(F.lower(text).rlike(needed), cut).otherwise(none) if listed else none).alias("found"))
