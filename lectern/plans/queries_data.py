@@ -141,23 +141,29 @@ def silver_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATIO = "len(regexp_extract_all(text, '{}')) / greatest(1, length(text))::DOUBLE"
 
 
-@query("SELECT doc_id, least(1.0, length(text) / 1000.0) AS length_ratio, " + ", ".join(f"{_RATIO.format(p)} AS {n}" for n, p in (("hangul_ratio", "[가-힣]"), ("digit_ratio", "\\p{Nd}"), ("latin_ratio", "[A-Za-z]"))) + " FROM documents")
+@query("SELECT doc_id, least(1.0, length(text) / 1000.0) AS length_ratio, " + ", ".join(f"{_RATIO.format(p)} AS {n}" for n, p in (("hangul_ratio", "[가-힣]"), ("digit_ratio", "\\p{Nd}"), ("latin_ratio", "[A-Za-z]"), ("symbol_ratio", "[^\\p{L}\\p{N}\\s\\x0B\\x{85}\\p{Z}]"))) + " FROM documents")
 def char_class_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = [x for x in text.character_features("text", 1000)][:4]
-    return table(spark, sf_dir, "documents").select("doc_id", *features)
+    return table(spark, sf_dir, "documents").select("doc_id", *text.character_features("text", 1000))
+
+
+#: White space of any kind, and the characters that a line may hold, as DuckDB writes them.
+_BLANK = "[\\s\\x0B\\x{85}\\p{Z}]"
+_EXPECTED = text.EXPECTED.removeprefix("(?U)").replace("'", "''")
 
 
 @query(
-    f"WITH {fx.LINES_SQL}, v AS (SELECT doc_id, pos, {fx.score_sql('doc_id * 1000 + pos')} AS c, trim(line) AS t FROM lines WHERE NOT regexp_matches(line, '[^\\x20-\\x7E]')), u AS (SELECT *, replace(t, ' ', '') AS vis FROM v) "
-    "SELECT doc_id, pos, round(CASE WHEN vis = '' THEN 0 ELSE greatest(0, least(1, c * 0.52 + (length(vis) - length(regexp_replace(vis, '[0-9A-Za-z.,?!:;()\\[\\]{}<>\"%+\\-/='']', '', 'g'))) / length(vis)::DOUBLE * 0.28 + 0.06 + least(1.0, length(vis) / 8.0) * 0.08 - len(regexp_extract_all(t, '\\?{2,}')) * 0.12 "
+    f"WITH {fx.LINES_SQL}, v AS (SELECT doc_id, pos, {fx.score_sql('doc_id * 1000 + pos')} AS c, regexp_replace(line, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS t FROM lines), u AS (SELECT *, regexp_replace(t, '{_BLANK}+', '', 'g') AS vis FROM v) "
+    f"SELECT doc_id, pos, round(CASE WHEN vis = '' THEN 0 ELSE greatest(0, least(1, c * 0.52 + len(regexp_extract_all(vis, '{_EXPECTED}')) / length(vis)::DOUBLE * 0.28 + 0.06 + least(1.0, length(vis) / 8.0) * 0.08 "
+    f"- len(regexp_extract_all(vis, '[\\p{{Cc}}\\p{{Co}}]')) * 0.25 - (length(t) - length(replace(t, chr(65533), ''))) * 0.3 "
+    # each Hangul letter is doubled, so that matches do not overlap
+    f"- (len(regexp_extract_all(t, '\\?{{2,}}')) + len(regexp_extract_all(regexp_replace(t, '([{text.HANGUL}])', '\\1\\1', 'g'), '[{text.HANGUL}]\\?[{text.HANGUL}]'))) * 0.12 "
     + "".join(f"- CASE WHEN abs((length(t) - length(replace(t, '{a}', ''))) - (length(t) - length(replace(t, '{b}', '')))) > 1 THEN 0.03 ELSE 0 END " for a, b in ("()", "[]", "<>"))
     + ")) END, 9) AS quality FROM u"
 )
 def text_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognition quality of the printable ASCII lines."""
-    found = fx.lines(spark, sf_dir).where(~F.col("line").rlike(r"[^\x20-\x7E]"))
+    """Recognition quality of every line."""
     q = text.quality_score("line", hashing.unit_score(F.col("doc_id") * 1000 + F.col("pos")))
-    return found.select("doc_id", "pos", F.round(q, 9).alias("quality"))
+    return fx.lines(spark, sf_dir).select("doc_id", "pos", F.round(q, 9).alias("quality"))
 
 
 @query("WITH t AS (SELECT lower(unnest(regexp_extract_all(text, '([0-9A-Za-z가-힣]+)', 1))) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM t GROUP BY token) SELECT token, n FROM c WHERE n >= 2 ORDER BY n DESC, token LIMIT 50000")

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "corpus_split_report"
-MODULES = ("queries_data", "queries_metrics", "queries_layout", "queries_rules")
+MODULES = ("queries_data", "queries_metrics", "queries_layout", "queries_rules", "queries_review")
 
 
 def _gathered(name: str) -> dict:
