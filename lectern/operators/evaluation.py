@@ -29,6 +29,19 @@ def rate(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.nullif(whole, F.lit(0))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``x`` to some places by its binary value, ties to even, as Python rounds.
+
+    The upper and the lower bits are scaled apart, which is exact for values up to 8 and six places; beyond, a value very near a tie
+    may go either way.
+    """
+    upper = F.floor(x * 2.0**30) / 2.0**30
+    scaled = upper * 10.0**places
+    whole = F.floor(scaled)
+    past = (scaled - whole - 0.5) + (x - upper) * 10.0**places
+    return (whole + F.when((past > 0) | ((past == 0) & (whole % 2 != 0)), 1).otherwise(0)) / 10.0**places
+
+
 def micro_metrics(documents: DataFrame, roles: DataFrame) -> DataFrame:
     """metric, samples and value of eight metrics over all documents, and over roles (reference, prediction).
 
@@ -98,8 +111,8 @@ def model_summary(predictions: DataFrame) -> DataFrame:
     )
     return sums.select(
         "model", "samples", "successful", (F.col("samples") - F.col("successful")).alias("errors"),
-        F.round(F.coalesce("s", F.lit(0.0)) / F.greatest(F.lit(1), "successful"), 4).alias("average_inference_seconds"), "evaluated_targets",
-        F.round(rate(F.col("e"), F.col("evaluated_targets")), 6).alias("exact_match_rate"), F.round(rate(F.col("l"), F.col("evaluated_targets")), 6).alias("normalized_edit_similarity"),
+        rounded(F.coalesce("s", F.lit(0.0)) / F.greatest(F.lit(1), "successful"), 4).alias("average_inference_seconds"), "evaluated_targets",
+        rounded(rate(F.col("e"), F.col("evaluated_targets")), 6).alias("exact_match_rate"), rounded(rate(F.col("l"), F.col("evaluated_targets")), 6).alias("normalized_edit_similarity"),
     )
 
 
@@ -110,9 +123,9 @@ def majority_page(cells: DataFrame, group: str, page: str) -> DataFrame:
 
 
 def weighted_score(cells: DataFrame, group: str, score: Column, length: Column) -> DataFrame:
-    """Mean score of each group's cells weighted by text length, to six places (half up); 0 if all are empty."""
+    """Mean score of each group's cells weighted by text length, to six places; 0 if all are empty."""
     sums = cells.groupBy(group).agg(F.sum(score * length).alias("s"), F.sum(length).alias("n"))
-    return sums.select(group, F.round(F.coalesce(rate(F.col("s"), F.col("n")), F.lit(0.0)), 6).alias("score"))
+    return sums.select(group, rounded(F.coalesce(rate(F.col("s"), F.col("n")), F.lit(0.0)), 6).alias("score"))
 
 
 def mean_confidence(owners: DataFrame, parts: DataFrame, owner: str, confidence: Column) -> DataFrame:

@@ -96,7 +96,7 @@ def majority_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.majority_page(table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS grp", "l_suppkey % 5 AS page"), "grp", "page")
 
 
-@query("SELECT l_partkey AS grp, round(coalesce(sum(((l_suppkey % 9) / 8.0) * (l_linenumber - 1))::DOUBLE / nullif(sum(l_linenumber - 1), 0), 0)::DECIMAL(30, 15), 6)::DOUBLE AS score FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey AS grp, format('{:.6f}', coalesce(sum(((l_suppkey % 9) / 8.0) * (l_linenumber - 1))::DOUBLE / nullif(sum(l_linenumber - 1), 0), 0))::DOUBLE AS score FROM lineitem GROUP BY 1")
 def length_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "grp")
     return ev.weighted_score(cells, "grp", F.col("l_suppkey") % 9 / F.lit(8.0), F.col("l_linenumber") - 1)

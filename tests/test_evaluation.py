@@ -64,3 +64,9 @@ def test_shared_lines(spark):
     rows = spark.createDataFrame([(1, 5, "a b"), (1, 2, "a b"), (2, 0, "a b"), (3, 0, "a"), (3, 1, "a")], "line int, cell int, t string")
     got = {(r.line, r.cell): r.t for r in ev.cell_texts(rows, "line", "cell", "t").collect()}
     assert got == {(1, 2): "a", (1, 5): "b", (2, 0): "a b", (3, 0): "a", (3, 1): "a"}
+
+
+def test_rounding_is_that_of_python(spark):
+    values = [0.5046875, 0.1234565, 0.0000005, 0.0000015, 2.5e-7, 1 / 3, 0.9999995, 0.25, 0.4890625, 61 / 128, *[k / (8 * n) for n in (7, 40, 80, 250, 1000) for k in range(0, 8 * n, 3)]]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", ev.rounded(F.col("v"), 6).alias("r")).collect()
+    assert [r.r for r in got] == [round(r.v, 6) for r in got]
